@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiewise.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from tiewise.llm import bpe, packing, quality
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +22,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing}
+def quality_rules(spark: SparkSession, sf_dir: str) -> list[quality.Rule]:
+    return quality.learn(quality.labelled_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_rules(spark, sf_dir))
+    return judged.select("doc_id", *(F.col("_quality")[c].alias(c) for c in (*quality.STATISTICS, "base_failed", "kept")))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality}
 
 QUERY_SQL: dict[str, str] = {}
