@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tiewise.llm import bpe, packing, quality
+from tiewise.llm import bpe, dedup, packing, quality
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("_quality")[c].alias(c) for c in (*quality.STATISTICS, "base_failed", "kept")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash}
 
 QUERY_SQL: dict[str, str] = {}
