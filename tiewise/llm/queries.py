@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tiewise.llm import bpe, dedup, packing, quality
+from tiewise.llm import bpe, dedup, packing, quality, toxicity
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 QUERY_SQL: dict[str, str] = {}
