@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tiewise.llm import bpe, dedup, packing, quality, toxicity
+from tiewise.llm import bpe, dedup, lm, packing, quality, toxicity
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(read_table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"))
 
-QUERY_SQL: dict[str, str] = {}
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+
+QUERY_SQL: dict[str, str] = {"op10_lm": lm.SQL}

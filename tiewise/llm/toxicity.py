@@ -145,7 +145,7 @@ def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     votes = np.array([np.frombuffer(r.votes, np.int8) for r in rows], float).reshape(len(rows), len(lexicon) + N_PATTERNS)
     label = np.array([r.label for r in rows], float)
     if not len(rows) or label.min() == label.max():
-        weights = [0.0] * len(lexicon) + [2.0, 1.0, 0.5, 0.0, 0.0, 0.5]
+        weights = [0.0] * len(lexicon) + [1.0, 3.0, 0.5, 0.0, 0.0, 0.5]
         return ToxicityModel(lexicon, tuple(weights), -1.0)
     prior = float(np.clip(label.mean(), 0.01, 0.5))
     post = label_model(votes, prior, label)
