@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tiewise.llm import bpe, dedup, lm, packing, quality, toxicity
+from tiewise.llm import ann, bpe, dedup, lm, packing, quality, toxicity
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,11 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 QUERY_SQL: dict[str, str] = {"op10_lm": lm.SQL}
