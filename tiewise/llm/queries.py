@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tiewise.llm import ann, bpe, chat, dedup, lm, packing, pii, quality, toxicity
+from tiewise.llm import ann, bpe, chat, dedup, lm, packing, pii, quality, token_store, toxicity
 from tiewise.llm.frames import read_table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_ann": op3_ann, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_token_store": op4_token_store, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 QUERY_SQL: dict[str, str] = {"op5_chat": chat.SQL, "op10_lm": lm.SQL}
