@@ -73,7 +73,8 @@ class SparkFeatures:
         self.panel = panel
         spark = panel.nodes.sparkSession
         self.periods = spark.range(1, 4).select(F.col("id").cast("int").alias("period"))
-        self.consts = self._consts()
+        # One row; kept, so that each plan reads it instead of computing it.
+        self.consts = self._consts().persist()
         centre = F.broadcast(self.consts)
         actors = F.broadcast(self.periods).crossJoin(panel.nodes)
         z = panel.z
@@ -84,7 +85,7 @@ class SparkFeatures:
             .join(z.select((F.col("wave") - 1).alias("period"), "id", F.col("value").cast("double").alias("zr1")), ["period", "id"], "left")
             .crossJoin(centre)
             .select("period", "id", "c", (F.coalesce("v", "vmean") - F.col("vmean")).alias("v"), (F.coalesce("zr", "zmean") - F.col("zmean")).alias("z"), (F.coalesce("zr1", "zmean") - F.col("zmean")).alias("z1"), F.coalesce("zr", "zmean").alias("zr"), F.coalesce("zr1", "zmean").alias("zr1"))
-        )
+        ).persist()
 
     def _consts(self) -> DataFrame:
         p = self.panel
@@ -138,27 +139,40 @@ class SparkFeatures:
                 far = self.nodes.select("period", F.col("id").alias("j"), F.col(weight).alias("far"))
                 steps, k = steps.join(far, ["period", "j"]), k * F.col("far")
             return steps.groupBy("period", F.col("i").alias("id")).agg(F.sum(k).alias("value"))
-        name, value, how = argument.split(",", 1)[0], argument.split(",", 1)[1].rpartition(",")[0], argument.rpartition(",")[2]
-        # A value is a node column, or a product of one with a degree such as z1*s.b, or the relation's weight u.
-        rel, at = self.relation(name), self.nodes.select("period", F.col("id").alias("b"), *NODE_VALUES)
-        near = rel.join(at, ["period", "b"]).join(self.nodes.select("period", F.col("id").alias("a"), *(F.col(c).alias(f"ego_{c}") for c in NODE_VALUES)), ["period", "a"])
-        expression = value
-        for d in dict.fromkeys(re.findall(r"deg\[(\w\.\w)\]", value)):
-            deg = self._node_feature("deg", d).select("period", F.col("id").alias("b"), F.col("value").alias(f"deg_{d[0]}{d[2]}"))
-            near = near.join(deg, ["period", "b"], "left").fillna(0.0, [f"deg_{d[0]}{d[2]}"])
-            expression = expression.replace(f"deg[{d}]", f"deg_{d[0]}{d[2]}")
-        for d in dict.fromkeys(re.findall(r"on\[(\w\.\w)\]", value)):
-            on = self.relation(d).select("period", "a", "b", F.col("u").alias(f"on_{d[0]}{d[2]}"))
-            near = near.join(on, ["period", "a", "b"], "left").fillna(0.0, [f"on_{d[0]}{d[2]}"])
-            expression = expression.replace(f"on[{d}]", f"on_{d[0]}{d[2]}")
-        for inner in dict.fromkeys(re.findall(r"far\[(\w\.\w);(\w+);(\w+)\]", value)):
-            d, what, agg = inner
-            there = self._node_feature("nb", f"{d},{what},{agg}").select("period", F.col("id").alias("b"), F.col("value").alias(f"far_{d[0]}{d[2]}_{what}_{agg}"))
-            near = near.join(there, ["period", "b"], "left").fillna(0.0, [f"far_{d[0]}{d[2]}_{what}_{agg}"])
-            expression = expression.replace(f"far[{d};{what};{agg}]", f"far_{d[0]}{d[2]}_{what}_{agg}")
-        if "zrange" in expression:
-            near = near.crossJoin(F.broadcast(self.consts.select("zrange", "zsim")))
-        return near.groupBy("period", F.col("a").alias("id")).agg(F.expr(f"{how}({expression})").cast("double").alias("value"))
+        return self.neighbours([argument]).withColumnRenamed(column(f"nb:{argument}"), "value")
+
+    def neighbours(self, arguments: list[str]) -> DataFrame:
+        """(period, id, one column for each argument): all aggregates over one relation's neighbours at once.
+
+        A value is an expression over the neighbour's node columns, ego's (ego_v ...), degrees deg[..] of the
+        neighbour, relations on[..] from ego to it, far[..;v;sum] over its own neighbours, and constants.
+        """
+        (name,) = {a.split(",", 1)[0] for a in arguments}
+        values = [(a, a.split(",", 1)[1].rpartition(",")[0], a.rpartition(",")[2]) for a in arguments]
+        text = " ".join(v for _, v, _ in values)
+        out = self.relation(name).join(self.nodes.select("period", F.col("id").alias("b"), *NODE_VALUES), ["period", "b"])
+        out = out.join(self.nodes.select("period", F.col("id").alias("a"), *(F.col(c).alias(f"ego_{c}") for c in NODE_VALUES)), ["period", "a"])
+        names = {}
+        for d in dict.fromkeys(re.findall(r"deg\[(\w\.\w)\]", text)):
+            names[f"deg[{d}]"] = at = f"deg_{d[0]}{d[2]}"
+            out = out.join(self._node_feature("deg", d).select("period", F.col("id").alias("b"), F.col("value").alias(at)), ["period", "b"], "left").fillna(0.0, [at])
+        for d in dict.fromkeys(re.findall(r"on\[(\w\.\w)\]", text)):
+            names[f"on[{d}]"] = at = f"on_{d[0]}{d[2]}"
+            out = out.join(self.relation(d).select("period", "a", "b", F.col("u").alias(at)), ["period", "a", "b"], "left").fillna(0.0, [at])
+        wanted = dict.fromkeys(re.findall(r"far\[(\w\.\w);(\w+);(\w+)\]", text))
+        for d in dict.fromkeys(d for d, _, _ in wanted):
+            inner = {f"{d},{what},{how}": f"far_{d[0]}{d[2]}_{what}_{how}" for e, what, how in wanted if e == d}
+            far = self.neighbours(list(inner))
+            out = out.join(far.select("period", F.col("id").alias("b"), *(F.col(column(f"nb:{a}")).alias(at) for a, at in inner.items())), ["period", "b"], "left").fillna(0.0, list(inner.values()))
+            names |= {f"far[{d};{what};{how}]": f"far_{d[0]}{d[2]}_{what}_{how}" for e, what, how in wanted if e == d}
+        if "zrange" in text:
+            out = out.crossJoin(F.broadcast(self.consts.select("zrange", "zsim")))
+        aggregates = []
+        for argument, value, how in values:
+            for token, at in names.items():
+                value = value.replace(token, at)
+            aggregates.append(F.expr(f"{how}(cast({value} as double))").cast("double").alias(column(f"nb:{argument}")))
+        return out.groupBy("period", F.col("a").alias("id")).agg(*aggregates)
 
     def two_steps(self, argument: str) -> DataFrame:
         """(period, i, j, value)"""
@@ -182,9 +196,12 @@ class SparkFeatures:
         """(period, effect, value): effects of one frame, each summed by period, rounded to 6 places."""
         (kind,) = {e.frame for e in effects}
         out = self.frame(kind)
-        keys = []
+        keys, near = [], {}
         for t in tokens(effects):
             what, argument, end = _parts(t)
+            if what == "nb":
+                near.setdefault((argument.split(",", 1)[0], end), []).append((argument, column(t)))
+                continue
             if what == "k":
                 keys.append(argument)
             elif what == "on":
@@ -199,6 +216,9 @@ class SparkFeatures:
                 out = out.join(self._node_feature(what, argument).select("period", F.col("id").alias(end), F.col("value").alias(column(t))), ["period", end], "left")
             if what != "k":
                 out = out.fillna(0, [column(t)])
+        for (_, end), wanted in near.items():
+            found = self.neighbours([a for a, _ in wanted])
+            out = out.join(found.select("period", F.col("id").alias(end), *(F.col(column(f"nb:{a}")).alias(c) for a, c in wanted)), ["period", end], "left").fillna(0, [c for _, c in wanted])
         if keys:
             out = out.crossJoin(F.broadcast(self.consts.select(*(F.col(k).alias(column(f"k:{k}")) for k in keys))))
         sums = out.groupBy("period").agg(*(F.round(F.sum(F.expr(spelled(e)).cast("double")), 6).alias(f"s{k}") for k, e in enumerate(effects)))
