@@ -29,7 +29,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     hashes = []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        if len(_WORDS) > 1_000_000:
+        if len(_WORDS) > 250_000:
             _WORDS.clear()
         for w in set(words).difference(_WORDS):
             _WORDS[w] = xxhash.xxh3_64_intdigest(w)
@@ -56,7 +56,7 @@ def _bucketed(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_words, log_score): the sum over a text's words of the log of its stupid-backoff score.
 
     Words are runs of non-white-space (ASCII), A-Z lower-cased. After a text's first word, a bigram that
@@ -69,7 +69,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
     docs = keyed_text(df, id_col, text_col)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = min(size, 1 << 50)
-    blocks, buckets = max(64, -(-size // block_bytes)), max(64, -(-size // (4 * block_bytes)))
+    blocks, buckets = max(64, -(-size // block_bytes)), max(64, -(-size // (16 * block_bytes)))
     total = docs.agg(F.sum(F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long"))).first()[0] or 0
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     packed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
