@@ -196,11 +196,11 @@ class SparkFeatures:
         """(period, effect, value): effects of one frame, each summed by period, rounded to 6 places."""
         (kind,) = {e.frame for e in effects}
         out = self.frame(kind)
-        keys, near = [], {}
+        keys, around = [], {}
         for t in tokens(effects):
             what, argument, end = _parts(t)
             if what == "nb":
-                near.setdefault((argument.split(",", 1)[0], end), []).append((argument, column(t)))
+                around.setdefault((argument.split(",", 1)[0], end), []).append((argument, column(t)))
                 continue
             if what == "k":
                 keys.append(argument)
@@ -216,7 +216,7 @@ class SparkFeatures:
                 out = out.join(self._node_feature(what, argument).select("period", F.col("id").alias(end), F.col("value").alias(column(t))), ["period", end], "left")
             if what != "k":
                 out = out.fillna(0, [column(t)])
-        for (_, end), wanted in near.items():
+        for (_, end), wanted in around.items():
             found = self.neighbours([a for a, _ in wanted])
             out = out.join(found.select("period", F.col("id").alias(end), *(F.col(column(f"nb:{a}")).alias(c) for a, c in wanted)), ["period", end], "left").fillna(0, [c for _, c in wanted])
         if keys:
