@@ -3,7 +3,8 @@
 Every document's MinHash samples are folded into a parity bitmap, its odd sketch: the number of bits
 in which two bitmaps differ tells how many samples differ, most precisely where few do. Documents
 with equal shingle sets are one class and only its smallest id goes on. In every bucket of a band
-each member is compared with the bucket's smallest and largest id only. What these stars leave apart
+each member is compared with three others only: the bucket's smallest and largest id, and the member
+whose buckets hold the most documents, which a family's original does. What these stars leave apart
 is compared in full: in every bucket that still holds several components, all pairs across components
 but those within the largest one. The screen is one bit count in the JVM; links are confirmed on the
 full sets of whole texts.
@@ -149,8 +150,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = stored(linked.groupBy(*key).agg(F.min("id").alias("rep")))
     reps = stored(linked.join(classes, key).where("id = rep").select("id", "bands", "sketch").dropDuplicates(["id", "bands"]))
     buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    ends = buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    stars = buckets.join(ends, ["band", "key"]).select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end")
+    ends = buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = stored(buckets.join(ends, ["band", "key"]))
+    # The text that a family of copies was made from is in the most and fullest buckets of them all.
+    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    middle = shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid"))
+    stars = shared.join(middle, ["band", "key"]).select("id", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("id <> end")
     stars = stars.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
     sketches = reps.select("id", "sketch")
     screened = (
