@@ -49,6 +49,19 @@ def _entries(texts: list[str]):
     return np.concatenate([one, two[~first]]), one, two, lengths, first
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Counts, most of them small: their number, a byte for each (255: more), then the larger ones in full."""
+    return len(numbers).to_bytes(4, "little") + np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype("<u8").tobytes()
+
+
+def _large(data) -> np.ndarray:
+    """What _small() packed."""
+    n = int.from_bytes(data[:4], "little")
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=4 + n)
+    return out
+
+
 def _bucketed(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by bucket, borders of the buckets) of sorted distinct hashes."""
     of = ((distinct >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
@@ -56,7 +69,7 @@ def _bucketed(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """(id, n_words, log_score): the sum over a text's words of the log of its stupid-backoff score.
 
     Words are runs of non-white-space (ASCII), A-Z lower-cased. After a text's first word, a bigram that
@@ -67,10 +80,9 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
     are by 64-bit hashes of words and bigrams.
     """
     docs = keyed_text(df, id_col, text_col)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = min(size, 1 << 50)
+    words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    total, size = (x or 0 for x in docs.agg(F.sum(words), F.sum(F.octet_length("text").cast("long"))).first())
     blocks, buckets = max(64, -(-size // block_bytes)), max(64, -(-size // (16 * block_bytes)))
-    total = docs.agg(F.sum(F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long"))).first()[0] or 0
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     packed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
     summed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -80,21 +92,21 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
         entries, *_ = _entries(table.column("text").to_pylist())
         distinct, counts = np.unique(entries, return_counts=True)
         order, border = _bucketed(distinct, buckets)
-        distinct, counts = distinct[order], counts[order].astype("<u4")
+        distinct, counts = distinct[order], counts[order]
         full = [b for b in range(buckets) if border[b] < border[b + 1]]
         block = table.column("block")[0].as_py()
         return pa.Table.from_arrays(
-            [pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([distinct[border[b] : border[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[border[b] : border[b + 1]].tobytes() for b in full], pa.binary())],
+            [pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([distinct[border[b] : border[b + 1]].tobytes() for b in full], pa.binary()), pa.array([_small(counts[border[b] : border[b + 1]]) for b in full], pa.binary())],
             schema=packed,
         )
 
     def add(table: pa.Table) -> pa.Table:
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
         _, where = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")])
-        totals = np.bincount(where, counts)[where].astype("<u8")
+        counts = np.concatenate([_large(x.as_py()) for x in table.column("counts")])
+        totals = np.bincount(where, counts)[where].astype(np.int64)
         ends = np.cumsum([len(g) for g in grams])
-        parts = [np.ascontiguousarray(p).tobytes() for p in np.split(totals, ends[:-1])]
+        parts = [_small(p) for p in np.split(totals, ends[:-1])]
         return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(parts, pa.binary())], schema=summed)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -104,7 +116,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
         by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         totals = np.empty(len(distinct), np.float64)
         if len(distinct):
-            totals[order] = np.concatenate([np.frombuffer(t, "<u8") for _, t in by_bucket])
+            totals[order] = np.concatenate([_large(t) for _, t in by_bucket])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         owner = np.concatenate([doc, doc[~first]])
         _, at, own = np.unique(owner * max(1, len(distinct)) + where, return_inverse=True, return_counts=True)
