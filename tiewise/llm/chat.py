@@ -44,11 +44,11 @@ def format_chats(df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "tur
 #: The same rows in DuckDB's SQL over `conversations`, prefixes compared as lists.
 SQL = """
 WITH turns AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS at,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos,
     '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part
   FROM conversations WHERE conv_id IS NOT NULL
 ), whole AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(part, '' ORDER BY at) AS rendered, list(part ORDER BY at) AS parts FROM turns GROUP BY conv_id
+  SELECT conv_id, count(*) AS n_turns, string_agg(part, '' ORDER BY pos) AS rendered, list(part ORDER BY pos) AS parts FROM turns GROUP BY conv_id
 ), prefix AS (
   SELECT DISTINCT n, parts[1:n] AS parts FROM (SELECT parts, unnest(range(1, n_turns)) AS n FROM whole)
 )
