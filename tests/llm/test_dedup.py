@@ -60,6 +60,39 @@ def test_against_all_pairs(spark):
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def family(r, n, length):
+    """Copies of one text that differ from it by a few words up to half of them."""
+    base = words(r, length)
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(r.randint(1, length // 10)):
+            copy[r.randrange(length)] = "x" * r.randint(1, 9)
+        out.append(" ".join(copy))
+    return out
+
+
+def test_large_buckets_lose_no_link(spark):
+    r = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(t for length in (60, 150, 151, 300) for t in family(r, 60, length))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute(rows)
+    assert len(set(want.values())) > 20
+    for paired in (1, dedup.PAIRED):
+        assert {x.id: x.component_id for x in dedup.near_duplicates(df, paired=paired).collect()} == want
+
+
+def test_first_shingles_meet():
+    r = np.random.default_rng(4)
+    for _ in range(3000):
+        n = int(r.integers(1, 120))
+        pool = np.unique(r.integers(0, 1 << 62, n + 40).astype(np.uint64))
+        a, b, centre = (np.unique(r.choice(pool, size=max(1, int(n * share)), replace=False)) for share in r.uniform(0.7, 1, 3))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(dedup.first_shingles(a, centre), dedup.first_shingles(b, centre)))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(300, 300), (7, 6)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -4,14 +4,18 @@ Every document's MinHash samples are folded into a parity bitmap, its odd sketch
 in which two bitmaps differ tells how many samples differ, most precisely where few do. Documents
 with equal shingle sets are one class and only its smallest id goes on. In every bucket of a band
 each member is compared with three others only: the bucket's smallest and largest id, and the member
-whose buckets hold the most documents, which a family's original does. What these stars leave apart
-is compared in full: in every bucket that still holds several components, all pairs across components
-but those within the largest one. The screen is one bit count in the JVM; links are confirmed on the
+whose buckets hold the most documents, which a family's original does. What these stars leave apart is compared in full, in every bucket
+that still holds several components: pairs across components but those within the largest one. In
+a bucket of more than PAIRED members, two are compared only if the first shingles of their sets, in
+an order that begins with those that the bucket's central member lacks, have one in common; two sets
+that overlap enough always do. The screen is one bit count in the JVM; links are confirmed on the
 full sets of whole texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +27,8 @@ from tiewise.llm.frames import arrow_batches, keyed_text, slices, stored
 BANDS, ROWS, SKETCH_BITS = 24, 3, 256
 #: Samples estimate a similarity of 0.75 within about 0.05; pairs estimated below this one are not confirmed.
 SCREEN = 0.45
+#: Members of a bucket that may all be compared with each other; larger buckets are joined on shingles.
+PAIRED = 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
 _SIGNATURE = "id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
@@ -134,14 +140,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def _size_classes(most: int) -> list[int]:
+    """The smallest size of each class of set sizes; a class spans 6 %, or one size."""
+    lows = [1]
+    while lows[-1] <= most:
+        lows.append(max(lows[-1] + 1, lows[-1] * 106 // 100))
+    return lows
+
+
+_LOWS = _size_classes(1 << 32)
+
+
+def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> np.ndarray:
+    """Keys of which two sets that overlap enough share one at least, given the same centre.
+
+    A set's shingles are ordered: those that the centre lacks, then the others, each by hash. Of two sets
+    of u and v shingles with enough in common, percent / (100 + percent) * (u + v) at least, the first
+    u - that + 1 and v - that + 1 must meet. The smaller set's size class is part of the key and bounds
+    the sum from below, so a set that is far from its centre offers nothing that the centre's copies have.
+    """
+    known = np.isin(sh, centre, assume_unique=True)
+    ordered = np.concatenate([sh[~known], sh[known]])
+    group, n = _mix(centre + np.uint64(1)).sum(), len(sh)
+    smallest = -(-percent * n // 100)
+    out = []
+    for k in range(bisect_right(_LOWS, smallest) - 1, bisect_right(_LOWS, n)):
+        common = -(-percent * (n + max(_LOWS[k], smallest)) // (100 + percent))
+        out.append(_mix(_mix(ordered[: max(0, n - common + 1)] + group) + np.uint64(k)))
+    return np.concatenate(out)
+
+
+def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(key, id, part) for members (id, part, mid): the keys of each member's first shingles around its centre."""
+    texts = docs.where("id is not null")
+    both = members.join(texts, "id").join(texts.select(F.col("id").alias("mid"), F.col("text").alias("text_mid")), "mid").select("id", "part", "text", "text_mid")
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("part", pa.int64())])
+
+    def run(batches):
+        last: tuple = ("", np.empty(0, np.uint64))
+        for batch in batches:
+            ids, parts, texts, centres = (batch.column(c) for c in ("id", "part", "text", "text_mid"))
+            for i in range(batch.num_rows):
+                centre = centres[i].as_py()
+                if centre != last[0]:
+                    last = (centre, shingles(centre))
+                sh = shingles(texts[i].as_py())
+                if len(sh) and len(last[1]):
+                    keys = first_shingles(sh, last[1], percent).view(np.int64)
+                    columns = [keys, np.full(len(keys), ids[i].as_py()), np.full(len(keys), parts[i].as_py())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return both.mapInArrow(run, "key long, id long, part long")
+
+
+def _across(rest: DataFrame, by: list[str]) -> DataFrame:
+    """Screened pairs (u, v) of rows (id, part, sketch) with one key and different parts."""
+    largest = rest.groupBy(*by, "part").count().groupBy(*by).agg(F.max(F.struct("count", "part")).alias("m")).select(*by, F.col("m.part").alias("largest"))
+    known = rest.join(largest, by)
+    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"))
+    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"))
+    return (
+        all_of.join(small, by)
+        .where((F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    )
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, paired: int = PAIRED) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of df.
 
     Documents without words (null or empty text too) are linked with nothing. Rows with one id are one
     document: it is linked with what any of its texts is linked with, and each of its rows is returned.
     Rows without an id are not linked: component null, kept. An empty table gives no rows; extra columns
     are not read. Links follow the contract exactly for all proposed pairs; a pair at exactly 0.75 shares
-    no band with a probability of 2e-6, a more similar one less.
+    no band with a probability of 2e-6, a more similar one less. `paired` divides the work and not the result.
     """
     docs = keyed_text(df, id_col, text_col)
     sig = stored(signatures(docs))
@@ -154,7 +226,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     shared = stored(buckets.join(ends, ["band", "key"]))
     # The text that a family of copies was made from is in the most and fullest buckets of them all.
     central = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    middle = shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid"))
+    middle = stored(shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid")))
     stars = shared.join(middle, ["band", "key"]).select("id", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("id <> end")
     stars = stars.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
     sketches = reps.select("id", "sketch")
@@ -172,17 +244,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     parts = stored(components(first))
     located = reps.join(parts, "id", "left").select("id", "bands", "sketch", F.coalesce("component", "id").alias("part"))
     placed = located.select("id", "part", F.posexplode("bands").alias("band", "key"))
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("band", "key")
-    rest = stored(located.select("id", "part", "sketch", F.posexplode("bands").alias("band", "key")).join(mixed, ["band", "key"]))
-    largest = rest.groupBy("band", "key", "part").count().groupBy("band", "key").agg(F.max(F.struct("count", "part")).alias("m")).select("band", "key", F.col("m.part").alias("largest"))
-    small = rest.join(largest, ["band", "key"]).where("part <> largest").select("band", "key", F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"))
-    all_of = rest.join(largest, ["band", "key"]).select("band", "key", F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"))
-    across = (
-        all_of.join(small, ["band", "key"])
-        .where((F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-    )
+    mixed = stored(placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n")).where("p0 < p1").select("band", "key", "n"))
+    few = located.select("id", "part", "sketch", F.posexplode("bands").alias("band", "key")).join(mixed.where(f"n <= {paired}").select("band", "key"), ["band", "key"])
+    members = placed.join(mixed.where(f"n > {paired}").join(middle, ["band", "key"]).select("band", "key", "mid"), ["band", "key"]).select("id", "part", "mid").distinct()
+    entries = stored(_keyed(members, docs, percent))
+    meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key")
+    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "id", "part", "sketch")
+    across = _across(stored(few), ["band", "key"]).unionByName(_across(stored(many), ["key"])).distinct()
     second = confirmed(across.join(first, ["u", "v"], "left_anti"), docs, percent)
     final = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
     out = sig.select("id", "n_shingles", "s1", "s2").join(classes, key, "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
