@@ -151,8 +151,11 @@ def _size_classes(most: int) -> list[int]:
 _LOWS = _size_classes(1 << 32)
 
 
-def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> np.ndarray:
-    """Keys of which two sets that overlap enough share one at least, given the same centre.
+def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which two sets that overlap enough share one at least, given the same centre, and places.
+
+    The place of a key is how many of the set's shingles are left from it on: two sets have no more in
+    common than the smaller place of the first key that they share.
 
     A set's shingles are ordered: those that the centre lacks, then the others, each by hash. Of two sets
     of u and v shingles with enough in common, percent / (100 + percent) * (u + v) at least, the first
@@ -163,18 +166,20 @@ def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> np.
     ordered = np.concatenate([sh[~known], sh[known]])
     group, n = _mix(centre + np.uint64(1)).sum(), len(sh)
     smallest = -(-percent * n // 100)
-    out = []
+    out, left = [], []
     for k in range(bisect_right(_LOWS, smallest) - 1, bisect_right(_LOWS, n)):
         common = -(-percent * (n + max(_LOWS[k], smallest)) // (100 + percent))
-        out.append(_mix(_mix(ordered[: max(0, n - common + 1)] + group) + np.uint64(k)))
-    return np.concatenate(out)
+        first = max(0, n - common + 1)
+        out.append(_mix(_mix(ordered[:first] + group) + np.uint64(k)))
+        left.append(n - np.arange(first))
+    return np.concatenate(out), np.concatenate(left)
 
 
 def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(key, id, part) for members (id, part, mid): the keys of each member's first shingles around its centre."""
+    """(key, place, n, id, part) for members (id, part, mid): the keys of each member's first shingles around its centre."""
     texts = docs.where("id is not null")
     both = members.join(texts, "id").join(texts.select(F.col("id").alias("mid"), F.col("text").alias("text_mid")), "mid").select("id", "part", "text", "text_mid")
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("part", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("part", pa.int64())])
 
     def run(batches):
         last: tuple = ("", np.empty(0, np.uint64))
@@ -186,22 +191,26 @@ def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     last = (centre, shingles(centre))
                 sh = shingles(texts[i].as_py())
                 if len(sh) and len(last[1]):
-                    keys = first_shingles(sh, last[1], percent).view(np.int64)
-                    columns = [keys, np.full(len(keys), ids[i].as_py()), np.full(len(keys), parts[i].as_py())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                    keys, places = first_shingles(sh, last[1], percent)
+                    columns = [keys.view(np.int64), places, *(np.full(len(keys), x) for x in (len(sh), ids[i].as_py(), parts[i].as_py()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, "key long, place int, n int, id long, part long")
 
-    return both.mapInArrow(run, "key long, id long, part long")
 
+def _across(rest: DataFrame, by: list[str], percent: int | None = None) -> DataFrame:
+    """Screened pairs (u, v) of rows (id, part, sketch) with one key and different parts.
 
-def _across(rest: DataFrame, by: list[str]) -> DataFrame:
-    """Screened pairs (u, v) of rows (id, part, sketch) with one key and different parts."""
+    Given percent, rows have a place and a size n too, and places must leave room for enough in common.
+    """
     largest = rest.groupBy(*by, "part").count().groupBy(*by).agg(F.max(F.struct("count", "part")).alias("m")).select(*by, F.col("m.part").alias("largest"))
     known = rest.join(largest, by)
-    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"))
-    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"))
+    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"), *([F.col("place").alias("place_v"), F.col("n").alias("n_v")] if percent else []))
+    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"), *([F.col("place").alias("place_u"), F.col("n").alias("n_u")] if percent else []))
+    room = F.least("place_u", "place_v").cast("long") * (100 + percent) >= (F.col("n_u").cast("long") + F.col("n_v")) * percent if percent else F.lit(True)
     return (
         all_of.join(small, by)
-        .where((F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
+        .where(room & (F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     )
 
@@ -246,11 +255,15 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     placed = located.select("id", "part", F.posexplode("bands").alias("band", "key"))
     mixed = stored(placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n")).where("p0 < p1").select("band", "key", "n"))
     few = located.select("id", "part", "sketch", F.posexplode("bands").alias("band", "key")).join(mixed.where(f"n <= {paired}").select("band", "key"), ["band", "key"])
-    members = placed.join(mixed.where(f"n > {paired}").join(middle, ["band", "key"]).select("band", "key", "mid"), ["band", "key"]).select("id", "part", "mid").distinct()
+    # One centre for a whole component, so that a family's members have one set of keys.
+    centres = located.select("id", "part").join(central, "id").groupBy("part").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("part", (-F.col("m.other")).alias("mid"))
+    large = mixed.where(f"n > {paired}").join(middle, ["band", "key"]).select("band", "key", F.col("mid").alias("id"))
+    large = large.join(located.select("id", "part"), "id").join(centres, "part").select("band", "key", "mid")
+    members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct()
     entries = stored(_keyed(members, docs, percent))
     meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key")
-    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "id", "part", "sketch")
-    across = _across(stored(few), ["band", "key"]).unionByName(_across(stored(many), ["key"])).distinct()
+    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "place", "n", "id", "part", "sketch")
+    across = _across(stored(few), ["band", "key"]).unionByName(_across(stored(many), ["key"], percent)).distinct()
     second = confirmed(across.join(first, ["u", "v"], "left_anti"), docs, percent)
     final = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
     out = sig.select("id", "n_shingles", "s1", "s2").join(classes, key, "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
