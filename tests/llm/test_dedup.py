@@ -90,8 +90,9 @@ def test_first_shingles_meet():
         a, b, centre = (np.unique(r.choice(pool, size=max(1, int(n * share)), replace=False)) for share in r.uniform(0.7, 1, 3))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 75 * (len(a) + len(b) - common):
-            (ka, pa), (kb, pb) = (dedup.first_shingles(x, centre) for x in (a, b))
-            places = [(p, q) for k, p in zip(ka, pa, strict=True) for q in pb[kb == k]]
+            sizes = [(k, min(g), max(g)) for k in {len(a) // 4, len(b) // 4} for g in [[len(x) for x in (a, b) if len(x) // 4 == k]]]
+            (ka, pa, oa), (kb, pb, ob) = (dedup.first_shingles(x, centre, len(x) // 4, sizes) for x in (a, b))
+            places = [(p, q) for k, p, o in zip(ka, pa, oa, strict=True) for q, m in zip(pb[kb == k], ob[kb == k], strict=True) if o or m]
             assert any(min(pq) >= common for pq in places)
 
 

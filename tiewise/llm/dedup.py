@@ -14,8 +14,6 @@ full sets of whole texts.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -140,19 +138,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _size_classes(most: int) -> list[int]:
-    """The smallest size of each class of set sizes; a class spans 6 %, or one size."""
-    lows = [1]
-    while lows[-1] <= most:
-        lows.append(max(lows[-1] + 1, lows[-1] * 106 // 100))
-    return lows
-
-
-_LOWS = _size_classes(1 << 32)
-
-
-def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of which two sets that overlap enough share one at least, given the same centre, and places.
+def first_shingles(sh: np.ndarray, centre: np.ndarray, own: int, classes: list[tuple[int, int, int]], percent: int = 75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of which two sets that overlap enough share one at least, given the same centre, places, and whether a key is of the own class.
 
     The place of a key is how many of the set's shingles are left from it on: two sets have no more in
     common than the smaller place of the first key that they share.
@@ -161,41 +148,50 @@ def first_shingles(sh: np.ndarray, centre: np.ndarray, percent: int = 75) -> tup
     of u and v shingles with enough in common, percent / (100 + percent) * (u + v) at least, the first
     u - that + 1 and v - that + 1 must meet. The smaller set's size class is part of the key and bounds
     the sum from below, so a set that is far from its centre offers nothing that the centre's copies have.
+    `own` is the set's class; classes are (class, smallest size, largest size) of the sets around the centre.
+    Two sets meet under the class of the smaller one.
     """
     known = np.isin(sh, centre, assume_unique=True)
     ordered = np.concatenate([sh[~known], sh[known]])
     group, n = _mix(centre + np.uint64(1)).sum(), len(sh)
     smallest = -(-percent * n // 100)
-    out, left = [], []
-    for k in range(bisect_right(_LOWS, smallest) - 1, bisect_right(_LOWS, n)):
-        common = -(-percent * (n + max(_LOWS[k], smallest)) // (100 + percent))
+    out, left, own_class = [], [], []
+    for k, low, high in classes:
+        if k > own or high < smallest:
+            continue
+        common = -(-percent * (n + max(low, smallest)) // (100 + percent))
         first = max(0, n - common + 1)
         out.append(_mix(_mix(ordered[:first] + group) + np.uint64(k)))
         left.append(n - np.arange(first))
-    return np.concatenate(out), np.concatenate(left)
+        own_class.append(np.full(first, k == own))
+    return (np.concatenate(out), np.concatenate(left), np.concatenate(own_class)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))
 
 
 def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(key, place, n, id, part) for members (id, part, mid): the keys of each member's first shingles around its centre."""
+    """(key, own, place, n, id, part) for members (id, part, mid, n): the keys of each member's first shingles around its centre."""
     texts = docs.where("id is not null")
-    both = members.join(texts, "id").join(texts.select(F.col("id").alias("mid"), F.col("text").alias("text_mid")), "mid").select("id", "part", "text", "text_mid")
-    schema = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("part", pa.int64())])
+    # Classes span 2 %, or one size; they are some hundreds at most.
+    classed = members.withColumn("k", F.floor(F.log("n") / F.log(F.lit(1.02))).cast("int"))
+    found = classed.groupBy("mid", "k").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("found"))
+    both = classed.join(found, "mid").join(texts, "id").join(texts.select(F.col("id").alias("mid"), F.col("text").alias("text_mid")), "mid").select("id", "part", "n", "k", "found", "text", "text_mid")
+    schema = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("place", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("part", pa.int64())])
 
     def run(batches):
         last: tuple = ("", np.empty(0, np.uint64))
         for batch in batches:
-            ids, parts, texts, centres = (batch.column(c) for c in ("id", "part", "text", "text_mid"))
+            ids, parts, sizes, ks, founds, texts, centres = (batch.column(c) for c in ("id", "part", "n", "k", "found", "text", "text_mid"))
             for i in range(batch.num_rows):
                 centre = centres[i].as_py()
                 if centre != last[0]:
                     last = (centre, shingles(centre))
                 sh = shingles(texts[i].as_py())
-                if len(sh) and len(last[1]):
-                    keys, places = first_shingles(sh, last[1], percent)
-                    columns = [keys.view(np.int64), places, *(np.full(len(keys), x) for x in (len(sh), ids[i].as_py(), parts[i].as_py()))]
+                # Texts that share an id are told apart by their sizes.
+                if len(sh) == sizes[i].as_py() and len(last[1]):
+                    keys, places, own = first_shingles(sh, last[1], ks[i].as_py(), [(c["k"], c["low"], c["high"]) for c in founds[i].as_py()], percent)
+                    columns = [keys.view(np.int64), own, places, *(np.full(len(keys), x) for x in (len(sh), ids[i].as_py(), parts[i].as_py()))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return both.mapInArrow(run, "key long, place int, n int, id long, part long")
+    return both.mapInArrow(run, "key long, own boolean, place int, n int, id long, part long")
 
 
 def _across(rest: DataFrame, by: list[str], percent: int | None = None) -> DataFrame:
@@ -205,9 +201,9 @@ def _across(rest: DataFrame, by: list[str], percent: int | None = None) -> DataF
     """
     largest = rest.groupBy(*by, "part").count().groupBy(*by).agg(F.max(F.struct("count", "part")).alias("m")).select(*by, F.col("m.part").alias("largest"))
     known = rest.join(largest, by)
-    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"), *([F.col("place").alias("place_v"), F.col("n").alias("n_v")] if percent else []))
-    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"), *([F.col("place").alias("place_u"), F.col("n").alias("n_u")] if percent else []))
-    room = F.least("place_u", "place_v").cast("long") * (100 + percent) >= (F.col("n_u").cast("long") + F.col("n_v")) * percent if percent else F.lit(True)
+    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"), *([F.col("place").alias("place_v"), F.col("n").alias("n_v"), F.col("own").alias("own_v")] if percent else []))
+    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"), *([F.col("place").alias("place_u"), F.col("n").alias("n_u"), F.col("own").alias("own_u")] if percent else []))
+    room = (F.col("own_u") | F.col("own_v")) & (F.least("place_u", "place_v").cast("long") * (100 + percent) >= (F.col("n_u").cast("long") + F.col("n_v")) * percent) if percent else F.lit(True)
     return (
         all_of.join(small, by)
         .where(room & (F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
@@ -259,10 +255,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     centres = located.select("id", "part").join(central, "id").groupBy("part").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("part", (-F.col("m.other")).alias("mid"))
     large = mixed.where(f"n > {paired}").join(middle, ["band", "key"]).select("band", "key", F.col("mid").alias("id"))
     large = large.join(located.select("id", "part"), "id").join(centres, "part").select("band", "key", "mid")
-    members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct()
+    members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct().join(linked.select("id", F.col("n_shingles").alias("n")).distinct(), "id")
     entries = stored(_keyed(members, docs, percent))
-    meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key")
-    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "place", "n", "id", "part", "sketch")
+    meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("own").alias("own")).where("p0 < p1 and own").select("key")
+    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "own", "place", "n", "id", "part", "sketch")
     across = _across(stored(few), ["band", "key"]).unionByName(_across(stored(many), ["key"], percent)).distinct()
     second = confirmed(across.join(first, ["u", "v"], "left_anti"), docs, percent)
     final = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
