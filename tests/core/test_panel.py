@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tiewise.operators import effects
+from tiewise.operators import effects, goodness
 from tiewise.operators.descriptives import dyad_census, tie_changes
 from tiewise.plans.features import SparkFeatures
 from tiewise.sources.files import read_edges, read_matrix, read_pajek, ties_of
@@ -76,3 +76,31 @@ def test_three_formats_agree(spark, tmp_path):
     assert rows[0] == rows[1] == rows[2] and (1, 1, 3, None) in rows[0]
     flags = {(x.i, x.j): (x.x, x.missing, x.structural) for x in ties_of(read_edges(spark, str(tmp_path / "e.dat"))).collect()}
     assert flags == {(1, 2): (True, False, False), (1, 3): (False, True, False), (2, 1): (False, False, True), (3, 1): (True, False, False), (3, 2): (True, False, True)}
+
+
+def test_triad_kinds(spark):
+    #: One triad of each kind by its arcs (fixed names of the sixteen kinds).
+    examples = {
+        "003": "", "012": "ab", "102": "ab ba", "021D": "ba bc", "021U": "ab cb", "021C": "ab bc", "111D": "ab ba cb", "111U": "ab ba bc",
+        "030T": "ab cb ac", "030C": "ba cb ac", "201": "ab ba bc cb", "120D": "ba bc ac ca", "120U": "ab cb ac ca", "120C": "ab bc ac ca", "210": "ab bc cb ac ca", "300": "ab ba bc cb ac ca",
+    }
+    for kind, arcs in examples.items():
+        flags = [str(int(x in arcs.split())) for x in ("ab", "ba", "ac", "ca", "bc", "cb")]
+        assert spark.sql(f"select {goodness._kind(*flags)} as k").first().k == kind
+
+
+def test_triad_census_counts_every_triple(made):
+    panel, ties = made
+    rows = goodness.triad_census(panel).collect()
+    for wave in range(1, 5):
+        x = {(i, j) for w, i, j in ties if w == wave}
+        n = {r.triad: r.n for r in rows if r.wave == wave}
+        assert set(n) == set(goodness.TRIADS) and sum(n.values()) == N * (N - 1) * (N - 2) // 6
+        linked = [sum((a, b) in x or (b, a) in x for a, b in itertools.combinations(t, 2)) for t in itertools.combinations(range(N), 3)]
+        assert (n["003"], n["012"] + n["102"]) == (linked.count(0), linked.count(1))
+
+
+def test_monte_carlo_test():
+    sims = [[float(k), float(k % 3)] for k in range(30)]
+    near, far = (goodness.monte_carlo_test(sims, o) for o in ([14.5, 1.0], [90.0, 1.0]))
+    assert near["p"] > 0.9 and far["p"] == 0.0 and far["distance"] > near["distance"]
