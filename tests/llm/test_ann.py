@@ -33,3 +33,17 @@ def test_recall_ties_and_odd_vectors(spark):
     assert ann.search(df.limit(0), queries).count() == 0
     few = df.where("vec_id < 3")
     assert ann.search(few, few.select("vec_id")).count() == 6
+
+
+def test_closed_leaves_leave_no_rank_out(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=32).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 40 = 0").select("vec_id")
+    for limits in ({}, {"open_share": 0.0, "least_candidates": 1}):
+        got = {}
+        for x in ann.search(df, queries, **limits).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x)
+        assert len(got) == 100
+        for found in got.values():
+            assert [x["rank"] for x in found] == list(range(1, 21)) and len({x.vec_id for x in found}) == 20

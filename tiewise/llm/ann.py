@@ -94,6 +94,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), -1)
 
 
+def _within(leaf_of: np.ndarray, opened: list[tuple[int, int]]) -> np.ndarray:
+    """Which rows of leaf_of (leaf in each tree) lie in one of the opened leaves."""
+    is_open = np.zeros((leaf_of.shape[1], leaf_of.max() + 1), bool)
+    is_open[tuple(zip(*opened, strict=True))] = True
+    return is_open[np.arange(leaf_of.shape[1]), leaf_of].any(axis=1)
+
+
+def _floor(scores: np.ndarray, kth: int) -> float:
+    """The kth best score, less what rounding may take; nothing is below it where there are fewer."""
+    return np.partition(scores, len(scores) - kth)[len(scores) - kth] - 1e-9 if len(scores) >= kth else -np.inf
+
+
 def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = TREES, sample: int = SAMPLE, open_share: float = 1.1, least_candidates: int = 8000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of df other than itself, ties to smaller ids.
 
@@ -123,13 +135,15 @@ def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_
     chosen = distinct.orderBy("h1", "h2").limit(sample).select("h1", "h2", "v").collect()
     matrix = np.array([r.v for r in sorted(chosen, key=lambda r: (r.h1, r.h2))], np.float64)
     n = distinct.count()
-    forest = spark.sparkContext.broadcast((Forest(matrix, trees, leaf_size(len(matrix), n)), matrix))
-    enough = max(open_share * len(matrix), least_candidates * len(matrix) / max(1, n))
+    grown = Forest(matrix, trees, leaf_size(len(matrix), n))
+    forest = spark.sparkContext.broadcast((grown, matrix, grown.leaves(matrix)))
+    # A sample vector counts once for each tree, so these are at least 2k + 2 different ones, or all.
+    enough = max(open_share * len(matrix), least_candidates * len(matrix) / max(1, n), trees * (2 * k + 2))
 
     index_schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("cid", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def index(batches):
-        f, _ = forest.value
+        f, _, _ = forest.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -140,14 +154,15 @@ def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_
     probe_schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("v", pa.list_(pa.float64())), ("floor", pa.float64())])
 
     def probe(batches):
-        f, known = forest.value
+        f, known, leaf_of = forest.value
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 part = batch.slice(at, 50)
                 x = _matrix(part.column("v"))
-                # What is below a query's (k + 1)th best of the sample can't be among its k best of all.
-                floors = np.partition(x @ known.T, len(known) - k - 1)[:, len(known) - k - 1] - 1e-9 if len(known) > k else np.full(len(x), -np.inf)
                 opened = [f.open(q, enough) for q in x]
+                # What is below the (2k + 2)th best of the sample vectors in the leaves a query opens can't be
+                # among the 2k + 2 best that it finds. Vectors of closed leaves are no candidates and set no bound.
+                floors = np.array([_floor(scores[_within(leaf_of, o)], 2 * k + 2) for scores, o in zip(x @ known.T, opened, strict=True)])
                 take = np.repeat(np.arange(len(opened)), [len(o) for o in opened])
                 rest = part.select(["h1", "h2", "v"]).take(pa.array(take))
                 trees_of, leaves_of = (pa.array(list(c), pa.int32()) for c in zip(*(p for o in opened for p in o), strict=True))
