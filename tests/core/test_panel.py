@@ -1,5 +1,6 @@
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -104,3 +105,21 @@ def test_monte_carlo_test():
     sims = [[float(k), float(k % 3)] for k in range(30)]
     near, far = (goodness.monte_carlo_test(sims, o) for o in ([14.5, 1.0], [90.0, 1.0]))
     assert near["p"] > 0.9 and far["p"] == 0.0 and far["distance"] > near["distance"]
+
+
+def test_geodesics_to_the_farthest_pair(spark, made):
+    panel, ties = made
+    # Wave 1 is a path through all actors; wave 2 has one tie, and wave 3 none.
+    ties = {(w, i, j) for w, i, j in ties if w == 4} | {(1, i, i + 1) for i in range(N - 1)} | {(2, 3, 1)}
+    want = {}
+    for wave in range(1, 5):
+        for i in range(N):
+            away, at = {i: 0}, {i}
+            while at:
+                at = {k for w, h, k in ties if w == wave and h in at} - away.keys()
+                away |= dict.fromkeys(at, max(away.values()) + 1)
+            for j in set(range(N)) - {i}:
+                want[wave, away.get(j)] = want.get((wave, away.get(j)), 0) + 1
+    found = goodness.geodesics(replace(panel, x=spark.createDataFrame(sorted(ties), "wave int, i int, j int"))).collect()
+    assert {(x.wave, x.distance): x.pairs for x in found if x.pairs} == want and len({(x.wave, x.distance) for x in found}) == len(found)
+    assert want[1, N - 1] == 1 and want[2, None] == want[3, None] - 1 == N * (N - 1) - 1

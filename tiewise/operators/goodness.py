@@ -71,16 +71,34 @@ def dyadic_counts(panel: Panel, width: float = 10.0) -> DataFrame:
     return panel.x.join(panel.d, ["i", "j"], "left").groupBy("wave", level.alias("level")).agg(F.count(F.lit(1)).alias("ties"))
 
 
-def geodesics(panel: Panel, longest: int = 3) -> DataFrame:
-    """(wave, distance, pairs): ordered pairs of actors by the length of the shortest path, up to `longest`."""
-    reached = panel.x.where("i <> j").select("wave", "i", "j", F.lit(1).alias("distance"))
-    step = panel.x.where("i <> j").select("wave", F.col("i").alias("j"), F.col("j").alias("k"))
-    front = reached
-    for distance in range(2, longest + 1):
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, which is set below the warehouse only where it is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def geodesics(panel: Panel) -> DataFrame:
+    """(wave, distance, pairs): ordered pairs of different actors by the length of the shortest directed path.
+
+    Every wave has one more row, with a null distance, for the pairs that no path joins, be there any or not.
+    """
+    arcs = _kept(panel.x.where("i <> j").select("wave", "i", "j").distinct())
+    step = arcs.select("wave", F.col("i").alias("j"), F.col("j").alias("k"))
+    front = reached = arcs.withColumn("distance", F.lit(1))
+    distance = 1
+    while not front.isEmpty():
+        distance += 1
         further = front.join(step, ["wave", "j"]).where("i <> k").select("wave", "i", F.col("k").alias("j")).distinct()
-        front = further.join(reached, ["wave", "i", "j"], "left_anti").withColumn("distance", F.lit(distance))
+        # Kept, so that a level is built from the one before it and not from all of them anew.
+        front = _kept(further.join(reached, ["wave", "i", "j"], "left_anti").withColumn("distance", F.lit(distance)))
         reached = reached.unionByName(front)
-    return reached.groupBy("wave", "distance").agg(F.count(F.lit(1)).alias("pairs"))
+    met = reached.groupBy("wave", "distance").agg(F.count(F.lit(1)).alias("pairs"))
+    size = panel.nodes.agg(F.count(F.lit(1)).alias("size"))
+    joined = _waves(panel).join(met.groupBy("wave").agg(F.sum("pairs").alias("joined")), "wave", "left").fillna(0, ["joined"]).crossJoin(F.broadcast(size))
+    apart = joined.select("wave", F.lit(None).cast("int").alias("distance"), (F.col("size") * (F.col("size") - 1) - F.col("joined")).alias("pairs"))
+    return met.unionByName(apart)
 
 
 def monte_carlo_test(simulated, observed, *, two_sided: bool = False) -> dict[str, float]:
