@@ -53,3 +53,28 @@ def test_rows(spark):
     out = pii.redact(df)
     assert out.columns == df.columns and sorted(str(r.text) for r in out.collect()) == ["", "<EMAIL>", "<EMAIL>", "None"]
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_added_spans_have_no_longest():
+    r = random.Random(3)
+    secret = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", k=700))
+    address = f"{'jo.doe-' * 9}x (at) {'mail' * 12} (dot) {'sub' * 8} (dot) b (dot) c (dot) d (dot) e (dot) com"
+    assert pii.proposals(f'api_key = "{secret}" end') == [(11, 711, "secret")]
+    assert pii.redacted_text(f'api_key = "{secret}" end') == 'api_key = "<SECRET>" end'
+    assert pii.proposals(f"mail {address}, end") == [(5, 5 + len(address), "spelt_email")]
+    for text in ("token=" + "ab1-" * 100000, "token=" + "".join(map(chr, range(0x4E00, 0x9000))) * 20, "a-" * 150000 + "(at)", "a (at) " * 60000, "a(at)b" + "(dot)c" * 60000, "token=" * 60000):
+        pii.proposals(text)
+        pii.spans(text)
+
+
+def test_spelt_addresses_as_before():
+    old = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,40}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,20}){1,4}", re.I)
+    r = random.Random(8)
+    pieces = ["a", "B1", "-", ".", "_", "é", " ", "(at)", " (at) ", "[AT]", "(dot)", " [dot] ", "x", "(", "ſ", "中"]
+    found = 0
+    for _ in range(60000):
+        text = "".join(r.choices(pieces, k=r.randint(3, 14)))
+        want = [m.span() for m in old.finditer(text)]
+        found += len(want)
+        assert list(pii._spelt(text)) == want, text
+    assert found > 300

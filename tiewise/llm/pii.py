@@ -14,6 +14,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,11 +34,13 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _GENERATORS = {
-    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})", re.I),
-    "spelt_email": re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,40}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,20}){1,4}", re.I),
+    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)", re.I),
     "local_phone": re.compile(r"(?<![\d+.)-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d.-]*\d)"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
+#: A run of local characters and, where it is an address, the rest of it as a group; every run is read once.
+_SPELT = re.compile(r"[A-Za-z0-9._-]++( ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++)?", re.I)
+_AT = re.compile(r"[\[(]at[\])]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -93,6 +96,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], BASE.index(x[2])))
 
 
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with "(at)" and "(dot)"; one that continues a word starts behind its first hyphen."""
+    for m in _SPELT.finditer(text) if _AT.search(text) else ():
+        if m[1]:
+            start = m.start()
+            if start and (text[start - 1] == "_" or text[start - 1].isalnum()):
+                start = text.find("-", start, m.start(1)) + 1
+            if 0 < start < m.start(1) or start == m.start():
+                yield start, m.end()
+
+
 def proposals(text: str) -> list[tuple[int, int, str]]:
     """All generators' spans, overlapping ones too."""
     out = []
@@ -100,6 +114,7 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
         for kind, pattern in _GENERATORS.items():
             group = 1 if kind == "secret" else 0
             out += [(m.start(group), m.end(group), kind) for m in pattern.finditer(text)]
+        out += [(*span, "spelt_email") for span in _spelt(text)]
     return out
 
 
@@ -114,7 +129,7 @@ def _iban_rest(s: str) -> int:
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format of the span and its context of 24 characters on both sides."""
     s, before, after = text[start:end], text[max(0, start - 24) : start].lower(), text[end : end + 24].lower()
-    counts = [s.count(c) for c in set(s)]
+    counts = Counter(s).values()
     entropy = -sum(c / len(s) * math.log2(c / len(s)) for c in counts)
     words = {"secret": ("token", "key", "secret", "pass"), "local_phone": ("tel", "phone", "call", "mobile", "fax"), "iban": ("iban", "bank", "account"), "spelt_email": ("mail", "contact", "write")}[kind]
     return [
