@@ -47,3 +47,22 @@ def test_closed_leaves_leave_no_rank_out(spark):
         assert len(got) == 100
         for found in got.values():
             assert [x["rank"] for x in found] == list(range(1, 21)) and len({x.vec_id for x in found}) == 20
+
+
+def test_recall_with_closed_leaves(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(10000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = set(range(0, 10000, 100))
+    x = np.array([v for _, v in rows])
+    forest = ann.Forest(x, ann.TREES, ann.leaf_size(10000, 10000))
+    # As many candidates as search() asks for by default: the larger of 1.1 x 10000 and 8000.
+    inside = [ann._within(forest.leaves(x), forest.open(x[q], 11000)) for q in sorted(asked)]
+    assert np.mean([i.mean() for i in inside]) < 0.8 and not any(i.all() for i in inside)
+    want = brute(rows, asked)
+    got = {}
+    for row in ann.search(df, df.where("vec_id % 100 = 0").select("vec_id")).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    assert got.keys() == asked and all([n for n, _ in found] == list(range(1, 21)) for found in got.values())
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in asked)
+    assert hits / 2000 >= 0.9
