@@ -49,3 +49,20 @@ def test_labelled_rows_with_nulls(spark):
     got = quality.labelled_statistics(docs, labels)
     assert len(got) == 1 and got[0][-1] is True
     assert docs.select(F.lit(1)).count() == 3
+
+
+def rejected(rules, row):
+    return any(all((row[quality.FEATURES.index(c.feature)] > c.threshold) == c.above for c in rule.conditions) for rule in rules)
+
+
+def test_learning_finds_a_narrow_tail_and_every_kind():
+    # Good and bad rows hold 4,000 different values of one feature; only the highest 40 are bad.
+    rows = [(100.0, 4.0, i / 4000, 0.0, 0.0, 0.0, 0.0, 0.0, i >= 3960) for i in range(4000)]
+    rules = quality.learn(rows)
+    assert len(rules) == 1 and [rejected(rules, r) for r in rows] == [r[-1] for r in rows]
+    # Twelve bands of bad rows between good ones need more than eight rules.
+    rows = [(100.0, 4.0, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, i // 60 % 2 == 1) for i in range(60 * 25)]
+    rules = quality.learn(rows)
+    caught = [rejected(rules, r) for r in rows]
+    assert len(rules) > 8 and sum(c and r[-1] for c, r in zip(caught, rows, strict=True)) == 720
+    assert sum(c and not r[-1] for c, r in zip(caught, rows, strict=True)) <= 30

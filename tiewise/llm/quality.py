@@ -1,10 +1,10 @@
 """Quality rules: a learned decision list over statistics of whole texts, in Spark expressions only.
 
 Sequential covering learns the list from labelled statistics: each rule is a conjunction of threshold
-conditions, grown on two thirds of the labelled rows by information gain and pruned on the rest; the
-rows that it covers are taken out and the next rule is learned. The rules become one ordered
-`CASE WHEN` expression. Texts never leave the JVM; the driver sees the statistics of at most
-`max_rows` labelled rows, a documented bound.
+conditions, grown on two thirds of the labelled rows by information gain over every border between
+their values and pruned on the rest; the rows that it covers are taken out and the next rule is
+learned, until none holds. The rules become one ordered `CASE WHEN` expression. Texts never leave the
+JVM; the driver sees the statistics of at most `max_rows` labelled rows, a documented bound.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +133,30 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn(rows: list[tuple], *, cuts: int = 24, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_cover: int = 5) -> list[Rule]:
-    """Decision list from (features in the order of FEATURES ..., bad) rows; every set of rows is a bitset.
+def _best_condition(x: np.ndarray, bad: np.ndarray, orders: list[np.ndarray], cover: np.ndarray) -> tuple[float, Condition | None]:
+    """The condition with the largest gain on the covered rows, of every border between two of their values in each feature."""
+    best, condition = 0.0, None
+    p0 = math.log2(bad[cover].mean())
+    for k, order in enumerate(orders):
+        rows = order[cover[order]]
+        v, n_bad = x[rows, k], np.cumsum(bad[rows])
+        at = np.nonzero(v[:-1] < v[1:])[0]
+        if not len(at):
+            continue
+        # Rows above and below each border, in turn.
+        hits = np.stack([n_bad[-1] - n_bad[at], n_bad[at]], axis=1).ravel()
+        size = np.stack([len(rows) - at - 1, at + 1], axis=1).ravel()
+        gains = np.where(hits > 0, hits * (np.log2(np.maximum(hits, 1) / size) - p0), -np.inf)
+        top = int(np.argmax(gains))
+        if gains[top] > best:
+            lo, hi = v[at[top // 2]], v[at[top // 2] + 1]
+            cut = (lo + hi) / 2
+            best, condition = float(gains[top]), Condition(FEATURES[k], top % 2 == 0, float(cut if cut < hi else lo))
+    return best, condition
+
+
+def learn(rows: list[tuple], *, max_conditions: int = 3, min_precision: float = 0.9, min_cover: int = 5) -> list[Rule]:
+    """Decision list from (features in the order of FEATURES ..., bad) rows; it ends where no further rule stays.
 
     A rule stays only if it is right on min_precision of what it covers, on the growing and the pruning
     rows alike, and covers min_cover rows of those it rejects. No rows, or rows of one class: no rules.
@@ -141,50 +164,42 @@ def learn(rows: list[tuple], *, cuts: int = 24, max_rules: int = 8, max_conditio
     rows = sorted(rows)
     if not rows:
         return []
-    tests: list[tuple[Condition, int]] = []
-    for k, feature in enumerate(FEATURES):
-        values = sorted({r[k] for r in rows})
-        step = max(1, len(values) // cuts)
-        for lo, hi in zip(values[:-1:step], values[1::step], strict=False):
-            cut = (lo + hi) / 2
-            above = sum(1 << i for i, r in enumerate(rows) if r[k] > cut)
-            tests += [(Condition(feature, True, cut), above), (Condition(feature, False, cut), ((1 << len(rows)) - 1) & ~above)]
-    bad = sum(1 << i for i, r in enumerate(rows) if r[-1])
-    prune_rows = sum(1 << i for i in range(2, len(rows), 3))
-    left, rules = (1 << len(rows)) - 1, []
-
-    def share(cover: int) -> float:
-        return (cover & bad).bit_count() / max(1, cover.bit_count())
-
-    while len(rules) < max_rules:
-        cover, chosen = left & ~prune_rows, []
-        while len(chosen) < max_conditions and share(cover) < 1:
-            p0 = share(cover)
-            if not p0:
+    x, bad = np.array([r[:-1] for r in rows], np.float64), np.array([bool(r[-1]) for r in rows])
+    orders = [np.argsort(column, kind="stable") for column in x.T]
+    growing = np.arange(len(rows)) % 3 != 2
+    left, rules = np.ones(len(rows), bool), []
+
+    def holds(c: Condition) -> np.ndarray:
+        value = x[:, FEATURES.index(c.feature)]
+        return value > c.threshold if c.above else value <= c.threshold
+
+    def covered(parts: list[Condition], of: np.ndarray) -> np.ndarray:
+        for c in parts:
+            of = of & holds(c)
+        return of
+
+    def share(cover: np.ndarray) -> float:
+        return (cover & bad).sum() / max(1, cover.sum())
+
+    def worth(parts: list[Condition]) -> float:
+        got = covered(parts, left & ~growing)
+        return (2 * (got & bad).sum() - got.sum()) / max(1, got.sum())
+
+    while True:
+        cover, chosen = left & growing, []
+        while len(chosen) < max_conditions and 0 < share(cover) < 1:
+            _, condition = _best_condition(x, bad, orders, cover)
+            if condition is None:
                 break
-            best = max(((sub & bad).bit_count() * (math.log2(share(sub)) - math.log2(p0)), -k) for k, (_, mask) in enumerate(tests) if (sub := cover & mask) and sub & bad)
-            if best[0] <= 0:
-                break
-            chosen.append(tests[-best[1]])
-            cover &= chosen[-1][1]
-
-        def covered(parts, of: int) -> int:
-            for _, mask in parts:
-                of &= mask
-            return of
-
-        def worth(parts) -> float:
-            got = covered(parts, left & prune_rows)
-            good = (got & bad).bit_count()
-            return (2 * good - got.bit_count()) / max(1, got.bit_count())
-
+            chosen.append(condition)
+            cover = covered([condition], cover)
         while len(chosen) > 1 and worth(chosen[:-1]) >= worth(chosen):
             chosen.pop()
-        grown, pruned = covered(chosen, left & ~prune_rows), covered(chosen, left & prune_rows)
-        if not chosen or share(grown) < min_precision or share(pruned) < min_precision or (grown & bad).bit_count() + (pruned & bad).bit_count() < min_cover or not pruned:
+        grown, pruned = covered(chosen, left & growing), covered(chosen, left & ~growing)
+        if not chosen or share(grown) < min_precision or share(pruned) < min_precision or (grown & bad).sum() + (pruned & bad).sum() < min_cover or not pruned.any():
             break
-        rules.append(Rule(tuple(c for c, _ in chosen)))
-        left &= ~covered(chosen, left)
+        rules.append(Rule(tuple(chosen)))
+        left = left & ~covered(chosen, left)
     return rules
 
 
