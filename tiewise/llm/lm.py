@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores, joined and summed relationally.
 
-The corpus's own bigram and word counts score each document, its own occurrences taken out first. The
+The corpus's own n-gram and word counts score each document, its own occurrences taken out first. The
 plan is the join of exploded n-grams with count tables that are partitioned by hash, with rows packed:
 documents are dealt into blocks by hash; a block sends every hash bucket its distinct n-grams and their
 counts once (so a frequent n-gram is one entry a block, never a hot key); a bucket, one partition of the
@@ -22,8 +22,11 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS: dict[bytes, int] = {}
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, bigram hashes, words of each text, first-word mask); a bigram ends at each word but a text's first."""
+def _grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(hashes of the n-grams that end at each word, for n from 1 to order; words of each text; place of each word in its text).
+
+    An n-gram's hash means something only where n words of the text end, at places from n - 1 on.
+    """
     import xxhash
 
     hashes = []
@@ -36,17 +39,17 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         hashes.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
     lengths = np.array([len(h) for h in hashes], np.int64)
     one = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    first = np.zeros(len(one), bool)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.empty(0, np.int64)
-    first[starts[lengths > 0]] = True
-    two = (np.roll(one, 1) * _C1 ^ (one + _C2)) * _C2
-    two = (two ^ (two >> np.uint64(29))) * _C1
-    return one, two, lengths, first
+    place = np.arange(len(one)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams = [one]
+    for _ in range(1, order):
+        longer = (np.roll(grams[-1], 1) * _C1 ^ (one + _C2)) * _C2
+        grams.append((longer ^ (longer >> np.uint64(29))) * _C1)
+    return grams, lengths, place
 
 
-def _entries(texts: list[str]):
-    one, two, lengths, first = _grams(texts)
-    return np.concatenate([one, two[~first]]), one, two, lengths, first
+def _entries(texts: list[str], order: int):
+    grams, lengths, place = _grams(texts, order)
+    return np.concatenate([g[place >= n] for n, g in enumerate(grams)]), lengths, place
 
 
 def _small(numbers: np.ndarray) -> bytes:
@@ -69,15 +72,16 @@ def _bucketed(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """(id, n_words, log_score): the sum over a text's words of the log of its stupid-backoff score.
 
-    Words are runs of non-white-space (ASCII), A-Z lower-cased. After a text's first word, a bigram that
-    occurs elsewhere scores count(bigram) / count(word before); else 0.4 * count(word) / total; the first
-    word scores count(word) / total; a word that occurs nowhere else counts 0.5. All counts and the total
+    Words are runs of non-white-space (ASCII), A-Z lower-cased. A word scores by the longest n-gram of at
+    most `order` words that ends at it and occurs elsewhere: count(n-gram) / count(its words but the last);
+    without one, count(word) / total. Each word of context given up on the way, of those that the text has
+    within the order, takes a factor of 0.4. A word that occurs nowhere else counts 0.5. All counts and the total
     are of the other rows. A text without words (null, empty) scores 0.0 over 0 words. Rows that repeat
     are rows of the corpus like others; an empty table gives no rows; extra columns are not read. Counts
-    are by 64-bit hashes of words and bigrams.
+    are by 64-bit hashes of words and n-grams.
     """
     docs = keyed_text(df, id_col, text_col)
     words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
@@ -89,10 +93,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
     result = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
     def count(table: pa.Table) -> pa.Table:
-        entries, *_ = _entries(table.column("text").to_pylist())
+        entries, *_ = _entries(table.column("text").to_pylist(), order)
         distinct, counts = np.unique(entries, return_counts=True)
-        order, border = _bucketed(distinct, buckets)
-        distinct, counts = distinct[order], counts[order]
+        dealt_to, border = _bucketed(distinct, buckets)
+        distinct, counts = distinct[dealt_to], counts[dealt_to]
         full = [b for b in range(buckets) if border[b] < border[b + 1]]
         block = table.column("block")[0].as_py()
         return pa.Table.from_arrays(
@@ -110,25 +114,29 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bloc
         return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(parts, pa.binary())], schema=summed)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        entries, one, two, lengths, first = _entries(left.column("text").to_pylist())
+        entries, lengths, place = _entries(left.column("text").to_pylist(), order)
         distinct, where = np.unique(entries, return_inverse=True)
-        order, _ = _bucketed(distinct, buckets)
+        dealt_to, _ = _bucketed(distinct, buckets)
         by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         totals = np.empty(len(distinct), np.float64)
         if len(distinct):
-            totals[order] = np.concatenate([_large(t) for _, t in by_bucket])
+            totals[dealt_to] = np.concatenate([_large(t) for _, t in by_bucket])
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        owner = np.concatenate([doc, doc[~first]])
+        owner = np.concatenate([doc[place >= n] for n in range(order)])
         _, at, own = np.unique(owner * max(1, len(distinct)) + where, return_inverse=True, return_counts=True)
         others = totals[where] - own[at]
-        c1 = others[: len(one)]
-        c2 = np.zeros(len(one))
-        c2[~first] = others[len(one) :]
-        before = np.roll(c1, 1)
         rest = np.maximum(1, total - lengths)[doc]
-        seen = c2 > 0
-        value = np.where(seen, np.maximum(c2, 1) / np.maximum(before, 1), np.maximum(c1, UNSEEN) / rest * np.where(first, 1.0, BACKOFF))
-        sums = np.bincount(doc, np.log(value), minlength=len(lengths)) if len(one) else np.zeros(len(lengths))
+        longest = np.minimum(order, place + 1)
+        value, shorter, at = np.empty(0), np.empty(0), 0
+        for n in range(1, order + 1):
+            ends = place >= n - 1
+            c = np.zeros(len(doc))
+            c[ends] = others[at : at + ends.sum()]
+            at += ends.sum()
+            backed = BACKOFF ** (longest - n).clip(0)
+            value = np.maximum(c, UNSEEN) / rest * backed if n == 1 else np.where(c > 0, np.maximum(c, 1) / np.maximum(np.roll(shorter, 1), 1) * backed, value)
+            shorter = c
+        sums = np.bincount(doc, np.log(value), minlength=len(lengths)) if len(doc) else np.zeros(len(lengths))
         return pa.Table.from_arrays([left.column("id").combine_chunks(), pa.array(lengths), pa.array(sums)], schema=result)
 
     counts = dealt.groupBy("block").applyInArrow(count, "block int, bucket int, grams binary, counts binary")
