@@ -102,13 +102,32 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 100 for i in range(101, 160))
 
 
+def differing(x, y):
+    return int(np.bitwise_count(np.array(dedup.signature(x)[4]).view(np.uint64) ^ np.array(dedup.signature(y)[4]).view(np.uint64)).sum())
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 62, 1000).astype(np.uint64))
-    near = np.concatenate([a[:900], r.integers(0, 1 << 62, 100).astype(np.uint64)])
-    far = np.concatenate([a[:100], r.integers(0, 1 << 62, 900).astype(np.uint64)])
-
-    def differing(x, y):
-        return sum((p ^ q & 0xFFFFFFFFFFFFFFFF).bit_count() if p >= 0 and q >= 0 else bin((p ^ q) & 0xFFFFFFFFFFFFFFFF).count("1") for p, q in zip(dedup.signature(x)[4], dedup.signature(y)[4], strict=True))
-
-    assert differing(a, near) <= dedup.most_differing() < differing(a, far)
+    near = np.unique(np.concatenate([a[:900], r.integers(0, 1 << 62, 100).astype(np.uint64)]))
+    far = np.unique(np.concatenate([a[:100], r.integers(0, 1 << 62, 900).astype(np.uint64)]))
+    assert differing(a, near) <= dedup.most_differing(2000) < differing(a, far)
+
+
+def test_sketch_keeps_links_and_drops_others():
+    r = np.random.default_rng(2)
+    for union in (8, 60, 400, 3000, 12000):
+        for similarity, kept in ((0.75, True), (0.45, False)):
+            both = int(np.ceil(similarity * union))
+            bits, bounds = [], []
+            for _ in range(60):
+                x = r.integers(0, 1 << 62, union).astype(np.uint64)
+                cut = both + (union - both) // 2
+                bits.append(differing(np.sort(x[:cut]), np.sort(np.concatenate([x[:both], x[cut:]]))))
+                bounds.append(dedup.most_differing(union + both))
+            bits, bound = np.array(bits), bounds[0]
+            if kept:
+                # 4.7 standard deviations of a normal variable: below 1e-6.
+                assert bits.mean() + 4.7 * bits.std() < bound
+            elif union >= 60:
+                assert (bits > bound).mean() > 0.9

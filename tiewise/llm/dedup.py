@@ -14,21 +14,24 @@ full sets of whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiewise.llm.components import components
-from tiewise.llm.frames import arrow_batches, keyed_text, slices, stored
+from tiewise.llm.frames import Scratch, arrow_batches, keyed_text, stored, text_runs, word_columns
 
-BANDS, ROWS, SKETCH_BITS = 24, 3, 256
-#: Samples estimate a similarity of 0.75 within about 0.05; pairs estimated below this one are not confirmed.
-SCREEN = 0.45
+BANDS, ROWS = 24, 3
+#: The sketch: samples are the smallest shingles of this many bins, one bit of the bitmap is flipped for each.
+SAMPLES, SKETCH_BITS = 512, 1024
+#: Pairs whose bitmaps differ more than expected at a similarity so much below the least one are not confirmed.
+MARGIN = 0.12
 #: Members of a bucket that may all be compared with each other; larger buckets are joined on shingles.
 PAIRED = 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS: dict[bytes, int] = {}
 _SIGNATURE = "id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
 _ARROW = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
@@ -46,24 +49,45 @@ _OFFSETS = _GENERATOR.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACES = _GENERATOR.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles; fewer words are one shingle, none are no shingle."""
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; fewer words are one shingle, none are no shingle."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(k, len(h))
-    n = len(h) - width + 1
+    number, distinct, borders = word_columns(texts)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[number]
+    whole = _rolled(h, k)
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        if b - a >= k:
+            yield np.unique(whole[a : b - k + 1])
+        else:
+            yield _rolled(h[a:b], b - a) if b > a else np.empty(0, np.uint64)
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every run of `width` words."""
+    n = max(0, len(h) - width + 1)
     out = np.full(n, width, np.uint64)
     for j in range(width):
         out = _mix(out + h[j : j + n] * _PLACES[j % 5])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, k: int = 5) -> np.ndarray:
+    """shingle_sets() of one text."""
+    (out,) = shingle_sets(pa.array([text], pa.string()), k)
+    return out
+
+
+def _sketch(sh: np.ndarray) -> np.ndarray:
+    """The odd sketch: a bit for every hash value of a sample, flipped by each sample that has it.
+
+    Samples come from one permutation: it deals the shingles into bins, and the smallest of each bin is one.
+    """
+    y = np.sort(_mix(sh + _OFFSETS[0]))
+    of = y >> np.uint64(64 - SAMPLES.bit_length() + 1)
+    samples = y[np.flatnonzero(np.diff(of, prepend=np.uint64(SAMPLES)))]
+    bits = np.bincount((_mix(samples) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def signature(sh: np.ndarray) -> tuple[int, int, int, list[int], list[int]]:
@@ -75,10 +99,8 @@ def signature(sh: np.ndarray) -> tuple[int, int, int, list[int], list[int]]:
     keys = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
         keys = _mix(keys + rows[:, j])
-    bits = np.bincount((_mix(low + _OFFSETS) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
     mixed = _mix(sh + np.uint64(1))
-    return len(sh), int(mixed.sum().view(np.int64)), int(np.bitwise_xor.reduce(_mix(mixed)).view(np.int64)), keys.view(np.int64).tolist(), sketch.tolist()
+    return len(sh), int(mixed.sum().view(np.int64)), int(np.bitwise_xor.reduce(_mix(mixed)).view(np.int64)), keys.view(np.int64).tolist(), _sketch(sh).tolist()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -87,33 +109,43 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         def rows():
             for batch in batches:
-                ids = batch.column("id").to_pylist()
-                for first, texts in slices(batch, "text"):
-                    for i, text in enumerate(texts, first):
-                        sh = shingles(text)
-                        yield (ids[i], *(signature(sh) if len(sh) else (0, 0, 0, [], [])))
+                for part in text_runs(batch, "text"):
+                    for i, sh in zip(part.column("id").to_pylist(), shingle_sets(part.column("text")), strict=True):
+                        yield (i, *(signature(sh) if len(sh) else (0, 0, 0, [], [])))
 
         yield from arrow_batches(rows(), _ARROW, 2000)
 
     return docs.mapInArrow(run, _SIGNATURE)
 
 
-def most_differing(similarity: float = SCREEN) -> int:
-    """Expected differing sketch bits when all samples but that share differ, 2 (1 - J) k flips at random places."""
-    flips = 2 * (1 - similarity) * BANDS * ROWS
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)))
+def most_differing(n: float, percent: int = 75, margin: float = MARGIN) -> float:
+    """Bits in which sketches are expected to differ `margin` below the least similarity, for two sets of n shingles in all, and 3 more.
+
+    A bin flips a bit for each set that has a smallest shingle there which is not the other's as well. With
+    Poisson many shingles in a bin, two sets of the same size flip most.
+    """
+    s = percent / 100 - margin
+    flips = 2 * SAMPLES * (1 - np.exp(-n / 2 / SAMPLES) - s * (1 - np.exp(-n / (1 + s) / SAMPLES)))
+    return SKETCH_BITS / 2 * (1 - np.exp(-2 * flips / SKETCH_BITS)) + 3
+
 
+def _may_be_linked(nu: Column, nv: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes leave room for a link, which is exact, and sketches a and b differ by no more than a link's would.
 
-def _differing(a: Column, b: Column) -> Column:
-    out = F.lit(0)
+    The bound is that of most_differing().
+    """
+    bits = F.lit(0)
     for i in range(SKETCH_BITS // 64):
-        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return out
+        bits = bits + F.bit_count(a[i].bitwiseXOR(b[i]))
+    n = (nu + nv).cast("double")
+    s = percent / 100 - MARGIN
+    flips = 2 * SAMPLES * (1 - F.exp(-n / (2 * SAMPLES)) - s * (1 - F.exp(-n / ((1 + s) * SAMPLES))))
+    most = SKETCH_BITS / 2 * (1 - F.exp(-2 / SKETCH_BITS * flips)) + 3
+    return (F.least(nu, nv) * 100 >= F.greatest(nu, nv) * percent) & (bits <= most)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Those pairs (u, v) whose full shingle sets overlap enough: 100 * intersection >= percent * union."""
-    texts = docs.where("id is not null")
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    """Those pairs (u, v) of ids of texts (id, text) whose full shingle sets overlap enough: 100 * intersection >= percent * union."""
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -167,9 +199,8 @@ def first_shingles(sh: np.ndarray, centre: np.ndarray, own: int, classes: list[t
     return (np.concatenate(out), np.concatenate(left), np.concatenate(own_class)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))
 
 
-def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _keyed(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(key, own, place, n, id, part) for members (id, part, mid, n): the keys of each member's first shingles around its centre."""
-    texts = docs.where("id is not null")
     # Classes span 2 %, or one size; they are some hundreds at most.
     classed = members.withColumn("k", F.floor(F.log("n") / F.log(F.lit(1.02))).cast("int"))
     found = classed.groupBy("mid", "k").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("found"))
@@ -194,19 +225,24 @@ def _keyed(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "key long, own boolean, place int, n int, id long, part long")
 
 
-def _across(rest: DataFrame, by: list[str], percent: int | None = None) -> DataFrame:
-    """Screened pairs (u, v) of rows (id, part, sketch) with one key and different parts.
+def _across(rest: DataFrame, by: list[str], percent: int, placed: bool = False) -> DataFrame:
+    """Screened pairs (u, v) of rows (id, part, sketch, n) with one key and different parts, and not both of the largest part.
 
-    Given percent, rows have a place and a size n too, and places must leave room for enough in common.
+    Placed rows have a place and a class flag too, and the places must leave room for enough in common.
     """
     largest = rest.groupBy(*by, "part").count().groupBy(*by).agg(F.max(F.struct("count", "part")).alias("m")).select(*by, F.col("m.part").alias("largest"))
     known = rest.join(largest, by)
-    small = known.where("part <> largest").select(*by, F.col("id").alias("v"), F.col("part").alias("pv"), F.col("sketch").alias("sv"), *([F.col("place").alias("place_v"), F.col("n").alias("n_v"), F.col("own").alias("own_v")] if percent else []))
-    all_of = known.select(*by, F.col("id").alias("u"), F.col("part").alias("pu"), F.col("sketch").alias("su"), (F.col("part") == F.col("largest")).alias("of_largest"), *([F.col("place").alias("place_u"), F.col("n").alias("n_u"), F.col("own").alias("own_u")] if percent else []))
-    room = (F.col("own_u") | F.col("own_v")) & (F.least("place_u", "place_v").cast("long") * (100 + percent) >= (F.col("n_u").cast("long") + F.col("n_v")) * percent) if percent else F.lit(True)
+
+    def side(of: str, rows: DataFrame, *more: Column) -> DataFrame:
+        extra = [F.col("place").alias(f"place_{of}"), F.col("own").alias(f"own_{of}")] if placed else []
+        return rows.select(*by, F.col("id").alias(of), F.col("part").alias(f"p{of}"), F.col("sketch").alias(f"s{of}"), F.col("n").alias(f"n{of}"), *extra, *more)
+
+    small = side("v", known.where("part <> largest"))
+    all_of = side("u", known, (F.col("part") == F.col("largest")).alias("of_largest"))
+    room = (F.col("own_u") | F.col("own_v")) & (F.least("place_u", "place_v").cast("long") * (100 + percent) >= (F.col("nu").cast("long") + F.col("nv")) * percent) if placed else F.lit(True)
     return (
         all_of.join(small, by)
-        .where(room & (F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & (_differing(F.col("su"), F.col("sv")) <= most_differing()))
+        .where(room & (F.col("pu") != F.col("pv")) & (F.col("of_largest") | (F.col("u") < F.col("v"))) & _may_be_linked(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"), percent))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     )
 
@@ -218,50 +254,54 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     document: it is linked with what any of its texts is linked with, and each of its rows is returned.
     Rows without an id are not linked: component null, kept. An empty table gives no rows; extra columns
     are not read. Links follow the contract exactly for all proposed pairs; a pair at exactly 0.75 shares
-    no band with a probability of 2e-6, a more similar one less. `paired` divides the work and not the result.
+    no band with a probability of 2e-6, a more similar one less, and its sketches are farther apart than
+    the screen allows with one below 1e-6. `paired` divides the work and not the result.
     """
     docs = keyed_text(df, id_col, text_col)
     sig = stored(signatures(docs))
     linked = sig.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "s1", "s2"]
     classes = stored(linked.groupBy(*key).agg(F.min("id").alias("rep")))
-    reps = stored(linked.join(classes, key).where("id = rep").select("id", "bands", "sketch").dropDuplicates(["id", "bands"]))
+    tables = Scratch(df.sparkSession)
+    reps = tables.keep(linked.join(classes, key).where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id", "bands"]))
     buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    ends = buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = stored(buckets.join(ends, ["band", "key"]))
+    ends = buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    shared = tables.keep(buckets.join(ends, ["band", "key"]))
     # The text that a family of copies was made from is in the most and fullest buckets of them all.
-    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    middle = stored(shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid")))
+    central = shared.groupBy("id").agg(F.sum("size").alias("score"))
+    middle = tables.keep(shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid")))
+    # Every later join of texts reads those alone that share a bucket with another one.
+    texts = tables.keep(docs.where("id is not null").join(shared.select("id").distinct(), "id", "left_semi"))
     stars = shared.join(middle, ["band", "key"]).select("id", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("id <> end")
     stars = stars.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
-    sketches = reps.select("id", "sketch")
     screened = (
-        stars.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u")
-        .join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-        .where(_differing(F.col("su"), F.col("sv")) <= most_differing())
+        stars.join(reps.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
+        .join(reps.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
+        .where(_may_be_linked(F.col("nu"), F.col("nv"), F.col("su"), F.col("sv"), percent))
         .select("u", "v")
         .distinct()
     )
     of_ids = linked.join(classes, key).select("id", "rep").distinct()
     several = of_ids.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top").select("id", "v")
     same_id = of_ids.join(several, "id").select(F.col("rep").alias("u"), "v").where("u <> v")
-    first = stored(confirmed(screened, docs, percent).unionByName(same_id))
-    parts = stored(components(first))
-    located = reps.join(parts, "id", "left").select("id", "bands", "sketch", F.coalesce("component", "id").alias("part"))
+    first = tables.keep(confirmed(screened, texts, percent).unionByName(same_id))
+    parts = tables.keep(components(first))
+    located = reps.join(parts, "id", "left").select("id", "n", "bands", "sketch", F.coalesce("component", "id").alias("part"))
     placed = located.select("id", "part", F.posexplode("bands").alias("band", "key"))
-    mixed = stored(placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n")).where("p0 < p1").select("band", "key", "n"))
-    few = located.select("id", "part", "sketch", F.posexplode("bands").alias("band", "key")).join(mixed.where(f"n <= {paired}").select("band", "key"), ["band", "key"])
+    mixed = tables.keep(placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("size")).where("p0 < p1").select("band", "key", "size"))
+    few = located.select("id", "part", "sketch", "n", F.posexplode("bands").alias("band", "key")).join(mixed.where(f"size <= {paired}").select("band", "key"), ["band", "key"])
     # One centre for a whole component, so that a family's members have one set of keys.
     centres = located.select("id", "part").join(central, "id").groupBy("part").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("part", (-F.col("m.other")).alias("mid"))
-    large = mixed.where(f"n > {paired}").join(middle, ["band", "key"]).select("band", "key", F.col("mid").alias("id"))
+    large = mixed.where(f"size > {paired}").join(middle, ["band", "key"]).select("band", "key", F.col("mid").alias("id"))
     large = large.join(located.select("id", "part"), "id").join(centres, "part").select("band", "key", "mid")
     members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct().join(linked.select("id", F.col("n_shingles").alias("n")).distinct(), "id")
-    entries = stored(_keyed(members, docs, percent))
+    entries = tables.keep(_keyed(members, texts, percent))
     meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("own").alias("own")).where("p0 < p1 and own").select("key")
-    many = entries.join(meeting, "key").join(located.select("id", "sketch"), "id").select("key", "own", "place", "n", "id", "part", "sketch")
-    across = _across(stored(few), ["band", "key"]).unionByName(_across(stored(many), ["key"], percent)).distinct()
-    second = confirmed(across.join(first, ["u", "v"], "left_anti"), docs, percent)
+    many = entries.join(meeting, "key").join(reps.select("id", "sketch"), "id").select("key", "own", "place", "n", "id", "part", "sketch")
+    across = _across(tables.keep(few), ["band", "key"], percent).unionByName(_across(tables.keep(many), ["key"], percent, placed=True)).distinct()
+    second = confirmed(across.join(first, ["u", "v"], "left_anti"), texts, percent)
     final = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
+    tables.clear()
     out = sig.select("id", "n_shingles", "s1", "s2").join(classes, key, "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce(F.col("component"), F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id"))
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
