@@ -40,7 +40,7 @@ def test_closed_leaves_leave_no_rank_out(spark):
     rows = [(i, r.normal(size=32).tolist()) for i in range(4000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     queries = df.where("vec_id % 40 = 0").select("vec_id")
-    for limits in ({}, {"open_share": 0.0, "least_candidates": 1}):
+    for limits in ({}, {"recall": 0.0}):
         got = {}
         for x in ann.search(df, queries, **limits).orderBy("query_id", "rank").collect():
             got.setdefault(x.query_id, []).append(x)
@@ -56,8 +56,10 @@ def test_recall_with_closed_leaves(spark):
     asked = set(range(0, 10000, 100))
     x = np.array([v for _, v in rows])
     forest = ann.Forest(x, ann.TREES, ann.leaf_size(10000, 10000))
-    # As many candidates as search() asks for by default: the larger of 1.1 x 10000 and 8000.
-    inside = [ann._within(forest.leaves(x), forest.open(x[q], 11000)) for q in sorted(asked)]
+    # As many candidates as search() asks for by default.
+    leaf_of = forest.leaves(x)
+    enough = ann.enough_candidates(forest, x, leaf_of, 20, 0.95)
+    inside = [ann._within(leaf_of, forest.open(x[q], enough)) for q in sorted(asked)]
     assert np.mean([i.mean() for i in inside]) < 0.8 and not any(i.all() for i in inside)
     want = brute(rows, asked)
     got = {}
@@ -66,3 +68,29 @@ def test_recall_with_closed_leaves(spark):
     assert got.keys() == asked and all([n for n, _ in found] == list(range(1, 21)) for found in got.values())
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in asked)
     assert hits / 2000 >= 0.9
+
+
+def test_structure_needs_few_candidates(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(60, 32))
+    share = {}
+    for n in (1000, 10000):
+        x = centres[r.integers(0, 60, n)] + 0.15 * r.normal(size=(n, 32))
+        forest = ann.Forest(x, ann.TREES, ann.leaf_size(n, n))
+        leaf_of = forest.leaves(x)
+        enough = ann.enough_candidates(forest, x, leaf_of, 20, 0.95)
+        inside = np.array([ann._within(leaf_of, forest.open(x[q], enough)) for q in range(0, n, n // 100)])
+        near = [np.argsort(-np.where(np.arange(n) == q, -np.inf, x @ x[q]))[:20] for q in range(0, n, n // 100)]
+        assert np.mean([i[m].mean() for i, m in zip(inside, near, strict=True)]) >= 0.9
+        share[n] = inside.mean()
+    assert share[10000] < share[1000] and share[10000] < 0.2
+
+
+def test_blocks_of_a_leaf_give_the_same_rows(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0").select("vec_id")
+    rows = lambda: sorted(map(tuple, ann.search(df, queries).collect()))
+    whole = rows()
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    assert rows() == whole and len(whole) == 600

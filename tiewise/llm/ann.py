@@ -5,8 +5,11 @@ a node splits its sample at the median of the projection onto the difference of
 Every vector is then put into one leaf of each tree. Equal vectors are one candidate with its smallest
 k + 1 ids, which are all that can be among the k nearest of anything, since ties go to smaller ids.
 A query goes down all trees at once: one priority queue holds the branches not taken in any tree,
-nearest border first, and leaves are opened until they hold enough candidates. Leaves are joined with
-the queries that opened them in blocks, and candidates are ranked exactly on the original vectors.
+nearest border first, and leaves are opened until they hold enough candidates. How many are enough is
+measured, not given: at that many the leaves hold the wanted share of the sample's own nearest neighbours.
+Where vectors have structure that is a small part of them; among vectors without any, no forest does with
+a small part. Leaves are joined with the queries that opened them in blocks of bounded size, and
+candidates are ranked exactly on the original vectors.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from tiewise.llm.frames import stored
 
 TREES, SAMPLE = 6, 20_000
+#: Rows, or queries, that one block of a leaf holds at most, about.
+BLOCK = 4096
 
 
 class Forest:
@@ -84,6 +89,26 @@ class Forest:
         return found
 
 
+def enough_candidates(forest: Forest, x: np.ndarray, leaf_of: np.ndarray, k: int, recall: float, probes: int = 100) -> float:
+    """How many candidates, a row counted once for each tree, hold the share `recall` of the k nearest of sample vectors, on average.
+
+    Neighbours in the whole table are nearer than those in a sample of it, so they need no larger share of it.
+    """
+    rows = np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int)
+    needed = []
+    for q in rows:
+        scores = x[q] @ x.T
+        scores[q] = -np.inf
+        near = np.argsort(-scores, kind="stable")[: min(k, len(x) - 1)]
+        opened = forest.open(x[q], np.inf)
+        held = np.cumsum([max(1, forest.trees[t][3][leaf]) for t, leaf in opened])
+        place = np.full((leaf_of.shape[1], leaf_of.max() + 1), np.inf)
+        place[tuple(np.array(opened).T)] = held
+        needed.append(place[np.arange(leaf_of.shape[1]), leaf_of[near]].min(axis=1))
+    every = np.concatenate(needed) if needed else np.empty(0)
+    return float(np.quantile(every, recall, method="higher")) if len(every) else np.inf
+
+
 def leaf_size(sample: int, rows: int) -> int:
     """Sample vectors in a leaf, such that a leaf holds about 400 rows, within 16 and 1024 leaves a tree."""
     return max(2, sample // min(1024, max(16, rows // 400)))
@@ -101,16 +126,16 @@ def _within(leaf_of: np.ndarray, opened: list[tuple[int, int]]) -> np.ndarray:
     return is_open[np.arange(leaf_of.shape[1]), leaf_of].any(axis=1)
 
 
-def _floor(scores: np.ndarray, kth: int) -> float:
-    """The kth best score, less what rounding may take; nothing is below it where there are fewer."""
-    return np.partition(scores, len(scores) - kth)[len(scores) - kth] - 1e-9 if len(scores) >= kth else -np.inf
+def _floor(scores: np.ndarray, kth: int, norms: float) -> float:
+    """The kth best score, less what rounding may take of sums of products of such norms; nothing is below it where there are fewer."""
+    return np.partition(scores, len(scores) - kth)[len(scores) - kth] - 1e-12 * norms if len(scores) >= kth else -np.inf
 
 
-def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = TREES, sample: int = SAMPLE, open_share: float = 1.1, least_candidates: int = 8000) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = TREES, sample: int = SAMPLE, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of df other than itself, ties to smaller ids.
 
-    `queries` are ids of rows of df. A query opens leaves until they hold, over all trees together, the
-    larger of least_candidates and open_share of all rows (a row counts once for each tree). Vectors that are null, empty,
+    `queries` are ids of rows of df. A query opens leaves until they hold as many rows as the share `recall` of
+    the sample's nearest neighbours took (see enough_candidates). Vectors that are null, empty,
     zero or hold a null or non-finite component take no part, nor do rows without an id; of other
     lengths than the most common one, none takes part. Repeated ids are rows like others, but none is
     its own query's candidate. An empty table gives no rows; extra columns are not read.
@@ -136,9 +161,13 @@ def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_
     matrix = np.array([r.v for r in sorted(chosen, key=lambda r: (r.h1, r.h2))], np.float64)
     n = distinct.count()
     grown = Forest(matrix, trees, leaf_size(len(matrix), n))
-    forest = spark.sparkContext.broadcast((grown, matrix, grown.leaves(matrix)))
+    leaf_of = grown.leaves(matrix)
+    # At most `sample` vectors and the trees over them.
+    forest = spark.sparkContext.broadcast((grown, matrix, leaf_of))
     # A sample vector counts once for each tree, so these are at least 2k + 2 different ones, or all.
-    enough = max(open_share * len(matrix), least_candidates * len(matrix) / max(1, n), trees * (2 * k + 2))
+    enough = max(enough_candidates(grown, matrix, leaf_of, k, recall), trees * (2 * k + 2))
+    leaves_in_all = sum(len(t[3]) for t in grown.trees)
+    row_blocks = max(1, -(-trees * n // (leaves_in_all * BLOCK)))
 
     index_schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("cid", pa.int64()), ("v", pa.list_(pa.float64()))])
 
@@ -162,7 +191,8 @@ def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_
                 opened = [f.open(q, enough) for q in x]
                 # What is below the (2k + 2)th best of the sample vectors in the leaves a query opens can't be
                 # among the 2k + 2 best that it finds. Vectors of closed leaves are no candidates and set no bound.
-                floors = np.array([_floor(scores[_within(leaf_of, o)], 2 * k + 2) for scores, o in zip(x @ known.T, opened, strict=True)])
+                norms = np.linalg.norm(x, axis=1) * np.linalg.norm(known, axis=1).max()
+                floors = np.array([_floor(scores[_within(leaf_of, o)], 2 * k + 2, m) for scores, o, m in zip(x @ known.T, opened, norms, strict=True)])
                 take = np.repeat(np.arange(len(opened)), [len(o) for o in opened])
                 rest = part.select(["h1", "h2", "v"]).take(pa.array(take))
                 trees_of, leaves_of = (pa.array(list(c), pa.int32()) for c in zip(*(p for o in opened for p in o), strict=True))
@@ -190,7 +220,14 @@ def search(df: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_
     sought = distinct.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v")
     leaves = distinct.select("cid", "v").mapInArrow(index, "tree int, leaf int, cid long, v array<double>")
     probes = sought.mapInArrow(probe, "tree int, leaf int, h1 long, h2 long, v array<double>, floor double")
-    near = probes.groupBy("tree", "leaf").cogroup(leaves.groupBy("tree", "leaf")).applyInArrow(rank, "h1 long, h2 long, cid long, score double")
+    # A leaf's rows are dealt into blocks, each of which meets all its queries; the queries into blocks, each of which meets all rows.
+    asking = sought.count()
+    query_blocks = max(1, int(-(-asking * min(leaves_in_all, enough / max(1, trees * len(matrix) / leaves_in_all)) // (leaves_in_all * BLOCK))))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    probes = probes.withColumn("qb", F.pmod(F.col("h1"), F.lit(query_blocks)).cast("int")).withColumn("rb", blocks(row_blocks))
+    leaves = leaves.withColumn("rb", F.pmod(F.xxhash64("cid"), F.lit(row_blocks)).cast("int")).withColumn("qb", blocks(query_blocks))
+    by = ["tree", "leaf", "rb", "qb"]
+    near = probes.groupBy(*by).cogroup(leaves.groupBy(*by)).applyInArrow(rank, "h1 long, h2 long, cid long, score double")
     # The same candidate comes from several trees.
     once = near.groupBy("h1", "h2", "cid").agg(F.max("score").alias("score"))
     order = lambda c, *rest: F.array_sort(F.collect_list(F.struct((-F.col(c)).alias("s"), *rest)))
