@@ -261,17 +261,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sig = stored(signatures(docs))
     linked = sig.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "s1", "s2"]
-    classes = stored(linked.groupBy(*key).agg(F.min("id").alias("rep")))
+    whole = stored(linked.groupBy(*key).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("s")))
+    classes = whole.select(*key, "rep")
+    reps = whole.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "s.bands", "s.sketch")
     tables = Scratch(df.sparkSession)
-    reps = tables.keep(linked.join(classes, key).where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id", "bands"]))
     buckets = reps.select("id", F.posexplode("bands").alias("band", "key"))
     ends = buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    shared = tables.keep(buckets.join(ends, ["band", "key"]))
+    shared = tables.keep(buckets.join(ends, ["band", "key"]).distinct())
     # The text that a family of copies was made from is in the most and fullest buckets of them all.
     central = shared.groupBy("id").agg(F.sum("size").alias("score"))
     middle = tables.keep(shared.select("id", "band", "key").join(central, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("band", "key", (-F.col("m.other")).alias("mid")))
-    # Every later join of texts reads those alone that share a bucket with another one.
-    texts = tables.keep(docs.where("id is not null").join(shared.select("id").distinct(), "id", "left_semi"))
+    # Every later join of texts reads those alone that share a bucket with another one. How many do is not
+    # bounded, so their ids are not broadcast, at no size.
+    texts = tables.keep(docs.where("id is not null").join(shared.select("id").distinct().hint("merge"), "id", "left_semi"))
     stars = shared.join(middle, ["band", "key"]).select("id", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("id <> end")
     stars = stars.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
     screened = (
@@ -286,18 +288,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same_id = of_ids.join(several, "id").select(F.col("rep").alias("u"), "v").where("u <> v")
     first = tables.keep(confirmed(screened, texts, percent).unionByName(same_id))
     parts = tables.keep(components(first))
-    located = reps.join(parts, "id", "left").select("id", "n", "bands", "sketch", F.coalesce("component", "id").alias("part"))
-    placed = located.select("id", "part", F.posexplode("bands").alias("band", "key"))
+    # Only rows of buckets that several share can meet another component.
+    part_of = shared.select("id").distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    placed = tables.keep(shared.select("id", "band", "key").join(part_of, "id"))
     mixed = tables.keep(placed.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("size")).where("p0 < p1").select("band", "key", "size"))
-    few = located.select("id", "part", "sketch", "n", F.posexplode("bands").alias("band", "key")).join(mixed.where(f"size <= {paired}").select("band", "key"), ["band", "key"])
+    sketches = reps.select("id", "sketch", "n")
+    few = placed.join(mixed.where(f"size <= {paired}").select("band", "key"), ["band", "key"]).join(sketches, "id").select("band", "key", "id", "part", "sketch", "n")
     # One centre for a whole component, so that a family's members have one set of keys.
-    centres = located.select("id", "part").join(central, "id").groupBy("part").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("part", (-F.col("m.other")).alias("mid"))
+    parted = placed.select("id", "part").distinct()
+    centres = parted.join(central, "id").groupBy("part").agg(F.max(F.struct("score", (-F.col("id")).alias("other"))).alias("m")).select("part", (-F.col("m.other")).alias("mid"))
     large = mixed.where(f"size > {paired}").join(middle, ["band", "key"]).select("band", "key", F.col("mid").alias("id"))
-    large = large.join(located.select("id", "part"), "id").join(centres, "part").select("band", "key", "mid")
-    members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct().join(linked.select("id", F.col("n_shingles").alias("n")).distinct(), "id")
+    large = large.join(parted, "id").join(centres, "part").select("band", "key", "mid")
+    members = placed.join(large, ["band", "key"]).select("id", "part", "mid").distinct().join(reps.select("id", "n").distinct(), "id")
     entries = tables.keep(_keyed(members, texts, percent))
     meeting = entries.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("own").alias("own")).where("p0 < p1 and own").select("key")
-    many = entries.join(meeting, "key").join(reps.select("id", "sketch"), "id").select("key", "own", "place", "n", "id", "part", "sketch")
+    many = entries.join(meeting, "key").join(reps.select("id", "n", "sketch"), ["id", "n"]).select("key", "own", "place", "n", "id", "part", "sketch")
     across = _across(tables.keep(few), ["band", "key"], percent).unionByName(_across(tables.keep(many), ["key"], percent, placed=True)).distinct()
     second = confirmed(across.join(first, ["u", "v"], "left_anti"), texts, percent)
     final = components(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))

@@ -206,11 +206,13 @@ def learn(rows: list[tuple], *, max_conditions: int = 3, min_precision: float =
 def labelled_statistics(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000) -> list[tuple]:
     """(features ..., bad) of at most max_rows labelled documents, the labels with the smallest hash of their id.
 
-    Rows whose id, label or text is null teach nothing. The chosen ids are broadcast: max_rows of them at most.
+    Rows whose id, label or text is null teach nothing; of repeated labels the smaller one counts, of documents
+    that share an id the one whose text has the smallest hash. The chosen ids are broadcast: max_rows of them at most.
     """
-    chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).dropna().dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     docs = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).dropna()
-    both = statistics(docs.join(F.broadcast(chosen), "_id"), "_text")
+    one = docs.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"), F.min("_label").alias("_label"))
+    both = statistics(one, "_text")
     return [tuple(r) for r in both.select(*(F.col("_stats")[f].cast("double").alias(f) for f in FEATURES), (F.col("_label") == 0).alias("bad")).collect()]
 
 
