@@ -19,7 +19,10 @@ from tiewise.llm.queries import WORD_VOCABULARY
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule fails and the learned decision list keeps."""
     rules = quality.learn(quality.labelled_statistics(docs, read_table(spark, sf_dir, "labels")))
-    return quality.judge(docs, rules).where(F.col("_quality")["kept"]).select(*docs.columns)
+    into = "_quality"
+    while into in docs.columns:
+        into += "_"
+    return quality.judge(docs, rules, into=into).where(F.col(into)["kept"]).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +31,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; of rows that share an id, one.
+    """One document of each group, the one with the smallest id; of rows that share an id, the one with the smallest hash of all columns.
 
     Rows without an id are not grouped and stay.
     """
     ids = dedup.near_duplicates(docs).where("kept and id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("_n"))
     once, repeated = ids.where("_n = 1").select("doc_id"), ids.where("_n > 1").select("doc_id")
-    ranked = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    ranked = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("r")).select("r.*")
     return (
         docs.join(once, "doc_id", "left_semi").select(*docs.columns)
-        .unionByName(ranked.dropDuplicates(["doc_id"]))
+        .unionByName(ranked)
         .unionByName(docs.where("doc_id is null"))
     )
 
