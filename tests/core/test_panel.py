@@ -22,7 +22,7 @@ def made(spark):
     panel = Panel(
         frame([(i,) for i in range(N)], "id int"), frame(ties, "wave int, i int, j int"), frame(other, "wave int, i int, j int"),
         frame([(w, i, r.randint(1, 5)) for w in range(1, 5) for i in range(N)], "wave int, id int, value int"),
-        frame([(i, float(i)) for i in range(N)], "id int, value double"), frame([(i, i % 2) for i in range(N)], "id int, value int"), frame([(0, 1, 4.0), (1, 2, 2.0)], "i int, j int, value double"),
+        frame([(i, float(i)) for i in range(N)], "id int, value double"), frame([(i, i % 2) for i in range(N)], "id int, value int"), frame([(0, 1, 4.0), (1, 2, 2.0)], "i int, j int, value double"), 4,
     )
     return panel, ties
 

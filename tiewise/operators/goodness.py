@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiewise.operators.descriptives import _waves
 from tiewise.sources.panel import PANEL_SQL, Panel, trade_panel
 
 #: Kinds of triads: mutual, asymmetric and empty dyads, and a letter where those leave it open (fixed names).
@@ -48,7 +47,7 @@ def triad_census(panel: Panel) -> DataFrame:
     met = linked.groupBy("wave").agg(F.sum(digit(1) * F.col("n")).alias("m"), F.sum(digit(2) * F.col("n")).alias("a"), F.sum("n").alias("k"))
     dyads = pairs.groupBy("wave").agg(F.sum(F.col("up") * F.col("down")).alias("mutual"), F.sum(1 - F.col("up") * F.col("down")).alias("one_way"))
     size = panel.nodes.agg(F.count(F.lit(1)).alias("size"))
-    each = _waves(panel).join(met, "wave", "left").join(dyads, "wave", "left").fillna(0).crossJoin(F.broadcast(size))
+    each = panel.wave_rows().join(met, "wave", "left").join(dyads, "wave", "left").fillna(0).crossJoin(F.broadcast(size))
     n012, n102 = F.col("one_way") * (F.col("size") - 2) - F.col("a"), F.col("mutual") * (F.col("size") - 2) - F.col("m")
     triples = (F.col("size") * (F.col("size") - 1) * (F.col("size") - 2) / 6).cast("long")
 
@@ -96,7 +95,7 @@ def geodesics(panel: Panel) -> DataFrame:
         reached = reached.unionByName(front)
     met = reached.groupBy("wave", "distance").agg(F.count(F.lit(1)).alias("pairs"))
     size = panel.nodes.agg(F.count(F.lit(1)).alias("size"))
-    joined = _waves(panel).join(met.groupBy("wave").agg(F.sum("pairs").alias("joined")), "wave", "left").fillna(0, ["joined"]).crossJoin(F.broadcast(size))
+    joined = panel.wave_rows().join(met.groupBy("wave").agg(F.sum("pairs").alias("joined")), "wave", "left").fillna(0, ["joined"]).crossJoin(F.broadcast(size))
     apart = joined.select("wave", F.lit(None).cast("int").alias("distance"), (F.col("size") * (F.col("size") - 1) - F.col("joined")).alias("pairs"))
     return met.unionByName(apart)
 
@@ -123,8 +122,10 @@ _SELECTS = {
         FROM waves w CROSS JOIN nodes a JOIN nodes b ON a.id < b.id JOIN nodes c ON b.id < c.id)) t ON t.wave = k.wave AND t.kind = k.triad GROUP BY 1, 2""",
     "category_pairs": "SELECT x.wave, a.value * 10 + b.value AS pair, count(*) AS ties FROM ties_x x JOIN cat a ON a.id = x.i JOIN cat b ON b.id = x.j GROUP BY 1, 2",
     "dyadic_counts": "SELECT x.wave, CAST(floor(coalesce(d.value, 0) / 10.0) AS BIGINT) AS level, count(*) AS ties FROM ties_x x LEFT JOIN dyad d ON d.i = x.i AND d.j = x.j GROUP BY 1, 2",
-    "geodesic_distribution": """SELECT wave, CAST(distance AS INT) AS distance, count(*) AS pairs FROM (SELECT wave, i, j, min(distance) AS distance FROM (
-      SELECT wave, i, j, 1 AS distance FROM ties_x UNION ALL SELECT a.wave, a.i, b.j, 2 FROM ties_x a JOIN ties_x b ON b.wave = a.wave AND b.i = a.j
-      UNION ALL SELECT a.wave, a.i, c.j, 3 FROM ties_x a JOIN ties_x b ON b.wave = a.wave AND b.i = a.j JOIN ties_x c ON c.wave = b.wave AND c.i = b.j) WHERE i <> j GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "geodesic_distribution": """SELECT w.wave, CAST(s.distance AS INT) AS distance, count(*) AS pairs FROM waves w CROSS JOIN nodes a JOIN nodes b ON a.id <> b.id JOIN shortest s ON s.wave = w.wave AND s.i = a.id AND s.j = b.id GROUP BY 1, 2
+      UNION ALL SELECT wave, NULL, (SELECT count(*) * (count(*) - 1) FROM nodes) - (SELECT count(*) FROM shortest s WHERE s.wave = w.wave) FROM waves w""",
 }
-QUERY_SQL = {name: f"WITH {PANEL_SQL}, waves AS (SELECT CAST(unnest(range(1, 5)) AS INT) AS wave) {sql}" for name, sql in _SELECTS.items()}
+#: Every distance there is, one walk longer at a time.
+_SHORTEST = """, walks AS (SELECT wave, i, j, 1 AS distance FROM ties_x UNION SELECT a.wave, a.i, x.j, a.distance + 1 FROM walks a JOIN ties_x x ON x.wave = a.wave AND x.i = a.j WHERE a.distance < (SELECT count(*) FROM nodes) - 1),
+shortest AS (SELECT wave, i, j, min(distance) AS distance FROM walks WHERE i <> j GROUP BY 1, 2, 3) """
+QUERY_SQL = {name: f"WITH RECURSIVE {PANEL_SQL}{_SHORTEST if name == 'geodesic_distribution' else ' '}{sql}" for name, sql in _SELECTS.items()}

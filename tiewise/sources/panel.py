@@ -1,10 +1,10 @@
 """Panels: the same actors at several waves, with networks, a behaviour and covariates as DataFrames.
 
-`trade_panel` derives one from the order tables: actors are nations; in each year 1995-1998 (waves 1-4)
-nation i is tied to nation j when i's customers bought more lines from j's suppliers than the wave's
-mean plus half a population standard deviation. W is the same of returned lines only. The behaviour z
-is the quintile of a nation's order total in the wave, v its customers' mean balance, c its region, and
-d the number of lines from i to j over all waves.
+`trade_panel` derives one from the order tables: actors are nations, waves are the years in which orders
+were placed. In a wave nation i is tied to nation j when i's customers bought more lines from j's suppliers
+than the wave's mean plus half a population standard deviation. W is the same of returned lines only. The
+behaviour z is the quintile of a nation's order total in the wave, v its customers' mean balance, c its
+region, and d the number of lines from i to j over all waves.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WAVES = (1, 2, 3, 4)
-
 
 @dataclass(frozen=True)
 class Panel:
-    """nodes(id); x, w: ties (wave, i, j); z (wave, id, value int); v (id, value); c (id, value); d (i, j, value)."""
+    """nodes(id); x, w: ties (wave, i, j); z (wave, id, value int); v (id, value); c (id, value); d (i, j, value).
+
+    Waves are numbered from 1 to `waves`, periods are from one wave to the next.
+    """
 
     nodes: DataFrame
     x: DataFrame
@@ -28,22 +29,43 @@ class Panel:
     v: DataFrame
     c: DataFrame
     d: DataFrame
+    waves: int
+
+    def wave_rows(self) -> DataFrame:
+        return self.nodes.sparkSession.range(1, self.waves + 1).select(F.col("id").cast("int").alias("wave"))
+
+    def period_rows(self) -> DataFrame:
+        return self.nodes.sparkSession.range(1, self.waves).select(F.col("id").cast("int").alias("period"))
 
 
 def _strong(counts: DataFrame) -> DataFrame:
-    by = Window.partitionBy("wave")
-    return counts.withColumn("cut", F.avg("n").over(by) + 0.5 * F.stddev_pop("n").over(by)).where("n > cut").select("wave", "i", "j")
+    cuts = counts.groupBy("wave").agg((F.avg("n") + 0.5 * F.stddev_pop("n")).alias("cut"))
+    # One row for each wave.
+    return counts.join(F.broadcast(cuts), "wave").where("n > cut").select("wave", "i", "j")
+
+
+#: The panel of the data directory that was read last, by application, directory and the sizes of its files.
+_KEPT: dict[tuple, Panel] = {}
 
 
-_KEPT: dict[tuple[str, str], Panel] = {}
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of a data directory from another: the newest change and the total size of the tables' files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer", "supplier", "nation")])
+    return tuple(files.agg(F.max("modificationTime"), F.sum("length"), F.count(F.lit(1))).first())
 
 
 def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
-    """The panel of a data directory; its tables hold at most nations squared rows a wave and are kept for reuse."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The panel of a data directory; its tables hold at most nations squared rows a wave and are kept until another one is asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, *_state(spark, sf_dir))
     if key not in _KEPT:
+        for old in _KEPT.values():
+            if old.nodes.sparkSession.sparkContext is spark.sparkContext:
+                for frame in (old.nodes, old.x, old.w, old.z, old.v, old.d):
+                    frame.unpersist()
+        _KEPT.clear()
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        orders = read("orders").where("o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1999-01-01'").select("o_orderkey", "o_custkey", (F.year("o_orderdate") - 1994).alias("wave"), "o_totalprice")
+        first = read("orders").agg(F.year(F.min("o_orderdate")).alias("y0"))
+        orders = read("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_totalprice").crossJoin(F.broadcast(first)).withColumn("wave", F.col("y") - F.col("y0") + 1)
         customer = read("customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("i"))
         supplier = read("supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("j"))
         placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -52,15 +74,16 @@ def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
         counts = flows.groupBy("wave", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r")).persist()
         nodes = read("nation").select(F.col("n_nationkey").cast("int").alias("id"))
         spend = placed.groupBy("wave", F.col("i").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
-        z = spend.select("wave", "id", F.ntile(5).over(Window.partitionBy("wave").orderBy("s", "id")).alias("value"))
+        z = spend.select("wave", "id", F.ntile(5).over(Window.partitionBy("wave").orderBy("s", "id")).alias("value")).persist()
         _KEPT[key] = Panel(
             nodes.persist(),
             _strong(counts).persist(),
             _strong(counts.where("r > 0").select("wave", "i", "j", F.col("r").alias("n"))).persist(),
-            z.persist(),
+            z,
             read("customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.round(F.avg("c_acctbal"), 4).alias("value")).persist(),
             read("nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_regionkey").cast("int").alias("value")),
             counts.groupBy("i", "j").agg(F.sum("n").cast("double").alias("value")).persist(),
+            int(z.agg(F.max("wave")).first()[0] or 0),
         )
     return _KEPT[key]
 
@@ -68,17 +91,19 @@ def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
 #: The same panel as common table expressions of DuckDB's SQL.
 PANEL_SQL = """
 flows AS (
-  SELECT CAST(year(o_orderdate) - 1994 AS INT) AS wave, CAST(c_nationkey AS INT) AS i, CAST(s_nationkey AS INT) AS j, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r
+  SELECT CAST(year(o_orderdate) - (SELECT year(min(o_orderdate)) FROM orders) + 1 AS INT) AS wave, CAST(c_nationkey AS INT) AS i, CAST(s_nationkey AS INT) AS j, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' AND c_nationkey <> s_nationkey GROUP BY 1, 2, 3
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2, 3
 ), cuts AS (SELECT wave, avg(n) + 0.5 * stddev_pop(n) AS cut FROM flows GROUP BY wave),
 cuts_r AS (SELECT wave, avg(r) + 0.5 * stddev_pop(r) AS cut FROM flows WHERE r > 0 GROUP BY wave),
 nodes AS (SELECT CAST(n_nationkey AS INT) AS id FROM nation),
 ties_x AS (SELECT f.wave, f.i, f.j FROM flows f JOIN cuts c ON c.wave = f.wave WHERE f.n > c.cut),
 ties_w AS (SELECT f.wave, f.i, f.j FROM flows f JOIN cuts_r c ON c.wave = f.wave WHERE f.r > c.cut),
 beh AS (SELECT wave, id, CAST(ntile(5) OVER (PARTITION BY wave ORDER BY s, id) AS INT) AS value FROM (
-  SELECT CAST(year(o_orderdate) - 1994 AS INT) AS wave, CAST(c_nationkey AS INT) AS id, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2)),
+  SELECT CAST(year(o_orderdate) - (SELECT year(min(o_orderdate)) FROM orders) + 1 AS INT) AS wave, CAST(c_nationkey AS INT) AS id, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2)),
+waves AS (SELECT CAST(unnest(range(1, (SELECT max(wave) FROM beh) + 1)) AS INT) AS wave),
+periods AS (SELECT wave AS period FROM waves WHERE wave < (SELECT max(wave) FROM beh)),
 cov AS (SELECT CAST(c_nationkey AS INT) AS id, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY 1),
 cat AS (SELECT CAST(n_nationkey AS INT) AS id, CAST(n_regionkey AS INT) AS value FROM nation),
 dyad AS (SELECT i, j, CAST(sum(n) AS DOUBLE) AS value FROM flows GROUP BY i, j)"""
