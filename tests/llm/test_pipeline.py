@@ -143,3 +143,25 @@ def test_run_against_plain_python(spark, tmp_path):
     assert len(left) > 100 and max(w[1] for w in want) >= 2 and any(w[0] is None for w in want)
     got = Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, columns named like the operators' own, null columns and one very long text."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(300_000))
+    rows = [(0, None, None, None, None, 1, "q"), (1, "", "en", "s", 0, 2, None), (2, long, "en", None, None, 3, "q"), (None, long + " end", None, "s", 5, 4, "q")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _quality int, id string"
+    spark.createDataFrame([(i, 1, 0) for i in range(3)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns, name
+            kept = at.collect()
+            at = spark.createDataFrame(kept, schema)
+            for x in kept:
+                was = next(q for q in rows if q[5] == x._quality)
+                assert (x.doc_id, x.id) == (was[0], was[6])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+        assert ({x.doc_id for x in pieces} == {2, None}) if docs.columns and docs.count() else not pieces
+    assert pii.redacted_text("") == "" and pii.redact(spark.createDataFrame([(None, 7)], "text string, s int")).collect()[0].s == 7

@@ -38,3 +38,9 @@ def test_corpus_round_trip(spark, tmp_path):
         assert short[at] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert token_store.round_trip(df.limit(0), WORD).count() == 0
+
+
+def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        token_store.write(df, WORD, f"{tmp_path}/ids", end_id=65536)

@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _safe(text: Column) -> Column:
+    """A blank divides what could be read as a marker of turns."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def _render(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+    return F.concat(F.lit("<|im_start|>"), _safe(role), F.lit("\n"), _safe(text), F.lit("<|im_end|>\n"))
 
 
 def format_chats(df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -21,7 +26,9 @@ def format_chats(df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "tur
 
     Turns go by turn number, nulls first, ties by role and then text. A null role counts as "user", a
     null text as empty. Rows without a conversation id belong to none and are left out. Rows repeated
-    within a conversation are turns of their own. An empty table gives no rows; extra columns are not read.
+    within a conversation are turns of their own. Markers of turns within a role or text are written as "<| im_".
+    An empty table gives no rows; extra columns are not read. A conversation's turns are ordered in one task, since
+    its text is one value.
     """
     turns = df.select(
         F.col(id_col).cast("long").alias("conv"),
@@ -45,10 +52,11 @@ def format_chats(df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "tur
 SQL = """
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos,
-    '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS part
+    '<|im_start|>' || replace(coalesce(role, 'user'), '<|im_', '<| im_') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS part,
+    struct_pack(r := coalesce(role, 'user'), t := coalesce(text, '')) AS said
   FROM conversations WHERE conv_id IS NOT NULL
 ), whole AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(part, '' ORDER BY pos) AS rendered, list(part ORDER BY pos) AS parts FROM turns GROUP BY conv_id
+  SELECT conv_id, count(*) AS n_turns, string_agg(part, '' ORDER BY pos) AS rendered, list(said ORDER BY pos) AS parts FROM turns GROUP BY conv_id
 ), prefix AS (
   SELECT DISTINCT n, parts[1:n] AS parts FROM (SELECT parts, unnest(range(1, n_turns)) AS n FROM whole)
 )

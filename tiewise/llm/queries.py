@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from tiewise.llm import ann, bpe, chat, dedup, lm, packing, pii, quality, token_store, toxicity
 from tiewise.llm.frames import read_table
 
-BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; looked up when a query runs, so that the other queries don't need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_vocabulary() -> str:
+    return vocabulary("byte_bpe_50k.json")
+
+
+def word_vocabulary() -> str:
+    return vocabulary("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+    return bpe.digests(read_table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return packing.pack(read_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> list[quality.Rule]:
@@ -60,7 +71,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.round_trip(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return token_store.round_trip(read_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_token_store": op4_token_store, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}

@@ -28,15 +28,25 @@ SCHEMA = "part int, chunk int, block int, n_ids int, crc32 long, payload binary,
 CHUNK_IDS = 512 * BLOCK
 
 
+def _check(vocabulary: str, end_id: int) -> None:
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True)
+    if size > 65536 or not 0 <= end_id < 65536:
+        raise ValueError(f"{size} tokens and end id {end_id}: ids must be below 65536")
+
+
 def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, partition_bytes: int = 8 << 20, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every whole text, append end_id and write all ids in ascending order of document ids.
 
     Null and empty texts have the end id only; null ids come first; rows that share an id are ordered by a
-    hash of their text. An empty table makes files without blocks; extra columns are not read.
+    hash of their text. An empty table makes files without blocks; extra columns are not read. Vocabularies of more
+    than 65536 tokens are refused: ids are coded as 16 bits.
     """
+    _check(vocabulary, end_id)
     docs = keyed_text(df, id_col, text_col)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(8, min(100_000, -(-size // partition_bytes)))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(8, -(-size // partition_bytes))
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
@@ -67,7 +77,9 @@ def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id"
         if held:
             yield flush()
 
-    ordered = docs.repartitionByRange(parts, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
+    # Rows that share an id are dealt by their texts' hashes, so that no id fills one task.
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, F.asc_nulls_first("id"), "h").sortWithinPartitions(F.asc_nulls_first("id"), "h").select("id", "text")
     ordered.mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(folder)
 
 

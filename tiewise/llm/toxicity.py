@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tiewise.llm.frames import Scratch, arrow_batches, keyed_text, slices, text_runs
 
 _WORD = re.compile(r"[^\W\d_]+")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 N_PATTERNS = 6
 #: Lengths of the beginnings of words that are units too; they are written with this mark in front.
 STEMS, MARK = (4, 5, 6), "~"
@@ -49,13 +50,21 @@ def _units(word: str) -> list[str]:
     return [word, *(MARK + word[:k] for k in STEMS if len(word) > k)]
 
 
-def votes_of(text: str, places: dict[str, int]) -> np.ndarray:
+class Places(dict):
+    """Place of each lexicon unit, and the first letters of all of them, by which most words are passed over."""
+
+    def __init__(self, lexicon: tuple[str, ...]):
+        super().__init__((u, i) for i, u in enumerate(lexicon))
+        self.heads = {u.removeprefix(MARK)[: min(STEMS)] for u in lexicon}
+
+
+def votes_of(text: str, places: Places) -> np.ndarray:
     """1, 0 (abstains) or -1 of each lexicon unit and then of each pattern, over the whole text."""
+    heads, first = places.heads, min(STEMS)
     out = np.zeros(len(places) + N_PATTERNS, np.int8)
     words = _WORD.findall(text.lower())
-    counts = Counter(words)
     n, hits, distinct = len(words), 0, 0
-    for w, k in counts.items():
+    for w, k in Counter(w for w in words if w[:first] in heads).items():
         found = [places[u] for u in _units(w) if u in places]
         if found:
             out[found] = 1
@@ -66,7 +75,7 @@ def votes_of(text: str, places: dict[str, int]) -> np.ndarray:
     out[at] = -1 if not hits else (1 if hits >= 3 else 0)
     out[at + 1] = 1 if distinct >= 2 else (-1 if not hits and n >= 20 else 0)
     out[at + 2] = 1 if distinct >= 3 else (-1 if distinct == 1 and n >= 40 else 0)
-    out[at + 3] = 1 if sum(map(str.isupper, text)) / letters > 0.5 and n > 3 else 0
+    out[at + 3] = 1 if n > 3 and len(_UPPER.findall(text)) / letters > 0.5 else 0
     out[at + 4] = 1 if n and text.count("!") / n > 0.3 else 0
     out[at + 5] = -1 if n > 200 and hits * 1000 < n else 0
     return out
@@ -77,7 +86,7 @@ def vote_rows(docs: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("votes", pa.binary())])
 
     def run(batches):
-        places = {w: i for i, w in enumerate(lexicon)}
+        places = Places(lexicon)
         rows = ((batch.column("id")[i].as_py(), votes_of(t, places).tobytes()) for batch in batches for first, texts in slices(batch, "text") for i, t in enumerate(texts, first))
         yield from arrow_batches(rows, schema)
 
@@ -190,7 +199,7 @@ def score(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_c
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
-        places = {w: i for i, w in enumerate(model.lexicon)}
+        places = Places(model.lexicon)
 
         def rows():
             for batch in batches:
@@ -208,7 +217,7 @@ def rejected(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", thr
     """df without its toxic rows, all its columns kept; rows are judged one by one, whatever their ids."""
 
     def run(batches):
-        places = {w: i for i, w in enumerate(model.lexicon)}
+        places = Places(model.lexicon)
         for batch in batches:
             for part in text_runs(batch, text_col):
                 texts = part.column(text_col).to_pylist()
