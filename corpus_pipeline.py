@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 
 from tiewise.llm import dedup, packing, pii, quality, toxicity
 from tiewise.llm.frames import read_table, stored
-from tiewise.llm.queries import WORD_VOCABULARY
+from tiewise.llm.queries import word_vocabulary
+
+
+def __getattr__(name: str) -> str:
+    """WORD_VOCABULARY, the path of the vocabulary that the last stage packs with."""
+    if name == "WORD_VOCABULARY":
+        return word_vocabulary()
+    raise AttributeError(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    return packing.pack(docs, WORD_VOCABULARY)
+    return packing.pack(docs, word_vocabulary())
 
 
 STAGES = [
