@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiewise.plans.features import SparkFeatures, SqlFeatures
+from tiewise.plans.features import SqlFeatures, features_of
 from tiewise.sources.panel import Panel, trade_panel
 
 #: What a new tie from i to j adds to i's evaluation, as text over the columns of _candidates(), the same in Spark and DuckDB; losing it takes as much away.
@@ -23,7 +23,7 @@ THETA = {"density": -1.2, "recip": 0.9, "transTrip": 0.1, "inPop": 0.02, "sameX"
 
 def candidates(panel: Panel) -> DataFrame:
     """(period, i, j, has, back, two, together, sent, round, indegree, outdegree, vi, vj, ci, cj, other, vrange, vsim) at the start of each period."""
-    f = SparkFeatures(panel)
+    f = features_of(panel)
     nodes = f.nodes.select("period", "id", "v", "c")
     out = nodes.select("period", F.col("id").alias("i"), F.col("v").alias("vi"), F.col("c").alias("ci")).join(nodes.select("period", F.col("id").alias("j"), F.col("v").alias("vj"), F.col("c").alias("cj")), "period")
     for name, net in (("has", "s.f"), ("back", "s.b"), ("other", "w.f")):
@@ -68,7 +68,7 @@ def behaviour_choices(panel: Panel, linear: float = 0.2, quad: float = -0.1, sim
 
     Parameters are those of the value, its square and its average similarity to alters' values.
     """
-    f = SparkFeatures(panel)
+    f = features_of(panel)
     z = f.nodes.select("period", "id", "z", "zr")
     bounds = F.broadcast(panel.z.agg(F.min("value").alias("low"), F.max("value").alias("high")))  # one row
     steps = z.crossJoin(bounds).withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where("zr + step between low and high")
@@ -84,7 +84,7 @@ def behaviour_choices(panel: Panel, linear: float = 0.2, quad: float = -0.1, sim
 
 
 def _table_numbers(panel: Panel) -> dict[str, float]:
-    row = SparkFeatures(panel).consts.select("zmean", "zrange", "zsim").first()
+    row = features_of(panel).consts.select("zmean", "zrange", "zsim").first()
     return {"mean": row.zmean, "range": row.zrange, "sim": row.zsim, "alters": 3.0}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiewise.sources.kept import Kept
 from tiewise.sources.panel import PANEL_SQL, Panel, trade_panel
 
 #: Kinds of triads: mutual, asymmetric and empty dyads, and a letter where those leave it open (fixed names).
@@ -70,20 +71,13 @@ def dyadic_counts(panel: Panel, width: float = 10.0) -> DataFrame:
     return panel.x.join(panel.d, ["i", "j"], "left").groupBy("wave", level.alias("level")).agg(F.count(F.lit(1)).alias("ties"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, which is set below the warehouse only where it is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def geodesics(panel: Panel) -> DataFrame:
     """(wave, distance, pairs): ordered pairs of different actors by the length of the shortest directed path.
 
     Every wave has one more row, with a null distance, for the pairs that no path joins, be there any or not.
     """
-    arcs = _kept(panel.x.where("i <> j").select("wave", "i", "j").distinct())
+    tables = Kept(panel.x.sparkSession)
+    arcs = tables.keep(panel.x.where("i <> j").select("wave", "i", "j").distinct())
     step = arcs.select("wave", F.col("i").alias("j"), F.col("j").alias("k"))
     front = reached = arcs.withColumn("distance", F.lit(1))
     distance = 1
@@ -91,7 +85,7 @@ def geodesics(panel: Panel) -> DataFrame:
         distance += 1
         further = front.join(step, ["wave", "j"]).where("i <> k").select("wave", "i", F.col("k").alias("j")).distinct()
         # Kept, so that a level is built from the one before it and not from all of them anew.
-        front = _kept(further.join(reached, ["wave", "i", "j"], "left_anti").withColumn("distance", F.lit(distance)))
+        front = tables.keep(further.join(reached, ["wave", "i", "j"], "left_anti").withColumn("distance", F.lit(distance)))
         reached = reached.unionByName(front)
     met = reached.groupBy("wave", "distance").agg(F.count(F.lit(1)).alias("pairs"))
     size = panel.nodes.agg(F.count(F.lit(1)).alias("size"))

@@ -228,13 +228,13 @@ BEHAVIOUR_PRODUCTS = (("avAlt", "indeg"), ("effFrom", "outdeg"))
 
 
 def _queries():
-    from tiewise.plans.features import SparkFeatures, SqlFeatures
+    from tiewise.plans.features import SqlFeatures, features_of
     from tiewise.sources.panel import trade_panel
 
     ties, actors = [interaction(*p) for p in PRODUCTS], [interaction(*p) for p in BEHAVIOUR_PRODUCTS]
 
     def run(effects):
-        return lambda spark, sf_dir: SparkFeatures(trade_panel(spark, sf_dir)).sums(effects)
+        return lambda spark, sf_dir: features_of(trade_panel(spark, sf_dir)).sums(effects)
 
     return {"interactions": run(ties), "behaviour_interactions": run(actors)}, {"interactions": SqlFeatures().sums(ties), "behaviour_interactions": SqlFeatures().sums(actors)}
 

@@ -35,6 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiewise.sources.kept import Kept
 from tiewise.sources.panel import PANEL_SQL, Panel
 
 TOKEN = re.compile(r"\{([^}]+)\}")
@@ -109,23 +110,23 @@ class SparkFeatures:
         self.panel = panel
         self.lag = {"end": 1, "start": 0}[dependent]
         self.periods = panel.period_rows()
+        self.tables = Kept(panel.nodes.sparkSession)
         # One row; kept, so that each plan reads it instead of computing it.
-        self.consts = self._consts().persist()
+        self.consts = self.tables.keep(self._consts())
         actors = F.broadcast(self.periods).crossJoin(panel.nodes)
         z = panel.z
-        self.nodes = (
+        self.nodes = self.tables.keep(
             actors.join(panel.v.withColumnRenamed("value", "v"), "id", "left")
             .join(panel.c.withColumnRenamed("value", "c"), "id", "left")
             .join(z.select(F.col("wave").alias("period"), "id", F.col("value").cast("double").alias("zr")), ["period", "id"], "left")
             .join(z.select((F.col("wave") - 1).alias("period"), "id", F.col("value").cast("double").alias("zr1")), ["period", "id"], "left")
             .crossJoin(F.broadcast(self.consts))
             .select("period", "id", "c", (F.coalesce("v", "vmean") - F.col("vmean")).alias("v"), (F.coalesce("zr", "zmean") - F.col("zmean")).alias("z"), (F.coalesce("zr1", "zmean") - F.col("zmean")).alias("z1"), F.coalesce("zr", "zmean").alias("zr"), F.coalesce("zr1", "zmean").alias("zr1"))
-        ).persist()
-        self.by_period = self._by_period().persist()
+        )
+        self.by_period = self.tables.keep(self._by_period())
 
     def release(self) -> None:
-        for frame in (self.consts, self.nodes, self.by_period):
-            frame.unpersist()
+        self.tables.clear()
 
     def _consts(self) -> DataFrame:
         p = self.panel
@@ -349,6 +350,20 @@ class SparkFeatures:
         return sums.select("period", rows.alias("r")).select("period", "r.effect", (F.col("r.value") + 0.0).alias("value"))
 
 
+#: Features of the panel that was asked for last, by the wave that x stands for.
+_LAST: dict[str, SparkFeatures] = {}
+
+
+def features_of(panel: Panel, dependent: str = "end") -> SparkFeatures:
+    """The features of a panel, made once as long as no other panel is asked for.
+
+    Those of an earlier one are let go of but not emptied, since frames made of them may still be read.
+    """
+    if dependent not in _LAST or _LAST[dependent].panel is not panel:
+        _LAST[dependent] = SparkFeatures(panel, dependent)
+    return _LAST[dependent]
+
+
 class SqlFeatures:
     """The same statistics as one text of DuckDB's SQL."""
 

@@ -9,11 +9,13 @@ region, and d the number of lines from i to j over all waves.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tiewise.sources.kept import Kept
+
 
 @dataclass(frozen=True)
 class Panel:
@@ -30,6 +32,7 @@ class Panel:
     c: DataFrame
     d: DataFrame
     waves: int
+    tables: Kept | None = field(default=None, compare=False)
 
     def wave_rows(self) -> DataFrame:
         return self.nodes.sparkSession.range(1, self.waves + 1).select(F.col("id").cast("int").alias("wave"))
@@ -55,14 +58,12 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
-    """The panel of a data directory; its tables hold at most nations squared rows a wave and are kept until another one is asked for."""
+    """The panel of a data directory, made anew when its files changed; its tables hold at most nations squared rows a wave."""
     key = (spark.sparkContext.applicationId, sf_dir, *_state(spark, sf_dir))
     if key not in _KEPT:
-        for old in _KEPT.values():
-            if old.nodes.sparkSession.sparkContext is spark.sparkContext:
-                for frame in (old.nodes, old.x, old.w, old.z, old.v, old.d):
-                    frame.unpersist()
+        # An earlier panel's small tables stay in the shared folder, since frames made of them may still be read.
         _KEPT.clear()
+        tables = Kept(spark)
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         first = read("orders").agg(F.year(F.min("o_orderdate")).alias("y0"))
         orders = read("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_totalprice").crossJoin(F.broadcast(first)).withColumn("wave", F.col("y") - F.col("y0") + 1)
@@ -71,23 +72,34 @@ def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
         placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
         lines = read("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
         flows = lines.join(placed.select("o_orderkey", "wave", "i"), lines.l_orderkey == F.col("o_orderkey")).join(supplier, lines.l_suppkey == supplier.s_suppkey).where("i <> j")
-        counts = flows.groupBy("wave", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r")).persist()
+        counts = flows.groupBy("wave", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+        counts = tables.keep(counts)
         nodes = read("nation").select(F.col("n_nationkey").cast("int").alias("id"))
         spend = placed.groupBy("wave", F.col("i").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
-        z = spend.select("wave", "id", F.ntile(5).over(Window.partitionBy("wave").orderBy("s", "id")).alias("value")).persist()
+        z = spend.select("wave", "id", F.ntile(5).over(Window.partitionBy("wave").orderBy("s", "id")).alias("value"))
+        z = tables.keep(z)
         _KEPT[key] = Panel(
-            nodes.persist(),
-            _strong(counts).persist(),
-            _strong(counts.where("r > 0").select("wave", "i", "j", F.col("r").alias("n"))).persist(),
+            nodes,
+            tables.keep(_strong(counts)),
+            tables.keep(_strong(counts.where("r > 0").select("wave", "i", "j", F.col("r").alias("n")))),
             z,
-            read("customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.round(F.avg("c_acctbal"), 4).alias("value")).persist(),
+            tables.keep(read("customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.round(F.avg("c_acctbal"), 4).alias("value"))),
             read("nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_regionkey").cast("int").alias("value")),
-            counts.groupBy("i", "j").agg(F.sum("n").cast("double").alias("value")).persist(),
+            tables.keep(counts.groupBy("i", "j").agg(F.sum("n").cast("double").alias("value"))),
             int(z.agg(F.max("wave")).first()[0] or 0),
+            tables,
         )
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Make the next panel and its features anew, as a first query would."""
+    from tiewise.plans import features
+
+    _KEPT.clear()
+    features._LAST.clear()
+
+
 #: The same panel as common table expressions of DuckDB's SQL.
 PANEL_SQL = """
 flows AS (
