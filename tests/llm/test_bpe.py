@@ -71,3 +71,23 @@ def test_packing(spark):
 def test_bins_close_fullest_first():
     bins = OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 9, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+
+
+def test_partitions_cost_few_sequences(spark):
+    r = random.Random(8)
+    texts = [(i, "word " * int(r.expovariate(1 / 700))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    total = None
+    for parts in (1, 60):
+        rows = pack(df.repartition(parts), WORD).collect()
+        total = sum(r.length for r in rows)
+        used = {}
+        for x in rows:
+            used.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        for places in used.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 4096
+        assert len(used) <= 1.02 * -(-total // 4096) + 1

@@ -2,7 +2,9 @@
 
 Each partition packs what it reads, in order: a fixed number of bins is open at a time, a bitset
 keyed by free space finds the open bin that a piece fills best, and when a new bin is needed and
-all places are taken, the fullest one closes. No shuffle; memory is the open bins.
+all places are taken, the fullest one closes. Memory is the open bins. The pieces of sequences that a
+partition leaves unfilled are packed once more in the same way, the longest ones first, in groups of bounded size
+over all partitions: so the number of sequences hardly depends on the number of partitions.
 """
 
 from __future__ import annotations
@@ -11,14 +13,19 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tiewise.llm.frames import arrow_batches, keyed_text
+from tiewise.llm.frames import arrow_batches, keyed_text, stored
 from tiewise.llm.word_ids import encoded
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 #: Sequence ids are the partition's number times this, plus a count from 0.
 IDS_PER_PARTITION = 1 << 40
+#: Sequences of the second packing are numbered from here, in the same way.
+FILLED = 1 << 62
+#: Pieces of unfilled sequences that one task packs anew, about; all of its bins may be open.
+UNITS = 500_000
 
 
 class OpenBins:
@@ -80,4 +87,25 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
 
         yield from arrow_batches(rows(), _ARROW)
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return _filled(stored(keyed_text(df, id_col, text_col).mapInArrow(run, SCHEMA)), capacity)
+
+
+def _filled(placed: DataFrame, capacity: int) -> DataFrame:
+    """The same pieces, those of unfilled sequences packed anew."""
+    unfilled = stored(placed.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("pieces")).where(F.col("used") < capacity))
+    pieces = unfilled.agg(F.sum("pieces")).first()[0] or 0
+    parts = max(1, -(-pieces // UNITS))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        bins = OpenBins(capacity, 2 * UNITS, FILLED + TaskContext.get().partitionId() * IDS_PER_PARTITION)
+        for batch in batches:
+            sequences, offsets = zip(*map(bins.place, batch.column("length").to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], schema=_ARROW)
+
+    ids = unfilled.select("sequence_id")
+    left = placed.join(ids, "sequence_id", "left_semi").select(*placed.columns)
+    # A piece's place tells it from all others, whatever its document's id.
+    anew = left.repartition(parts, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset").mapInArrow(run, SCHEMA)
+    return placed.join(ids, "sequence_id", "left_anti").select(*placed.columns).unionByName(anew)
