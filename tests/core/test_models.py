@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiewise.operators import choices, inference, kernel
-from tiewise.operators.estimation import Algorithm, Fit, derivative, estimate, gmom_covariance, simulate_only, starting_density, starting_rates
+from tiewise.operators import choices, inference, kernel, reports
+from tiewise.operators.estimation import Algorithm, Fit, derivative, estimate, gmom_covariance, rules_of, simulate_only, starting_density, starting_flow, starting_rates, starting_tendency
 from tiewise.operators.kernel import Rules, State, Term
 from tiewise.operators.simulation import PeriodData, chain_likelihood, chains, model_periods, simulated_behaviour, simulated_ties, simulations, targets
 from tiewise.sources.panel import Panel
@@ -285,3 +285,91 @@ def test_tables(spark):
     assert got[4.0, 1.0] == pytest.approx(0.3 * 2 + 0.2 * 2 * -1)
     with pytest.raises(ValueError):
         inference.selection_table(spark, values, {"nothing": 1.0}, numbers)
+
+
+def test_settings_second_steps_and_pairs():
+    s = state(4)
+    mask = np.zeros((N, N), bool)
+    mask[:, :3] = True
+    run = kernel.simulate(s, [Term("density", 0.0)], {"x": 6.0}, Rules(settings=((1.0, mask),)), np.random.default_rng(1))
+    assert (run.end.x[:, 3:] == s.x[:, 3:]).all() and (run.end.x != s.x).any()
+    run = kernel.simulate(s, [Term("density", 0.0)], {"x": 6.0}, Rules(settings=((0.5, "universal"), (0.5, "primary"))), np.random.default_rng(1), keep_chain=True)
+    assert run.steps == len(run.chain)
+    run = kernel.simulate(s, [Term("density", 0.0)], {"x": 6.0}, Rules(again=1.0), np.random.default_rng(1), keep_chain=True)
+    assert len(run.chain) == 2 * run.steps and all(a[2] == b[2] for a, b in zip(run.chain[::2], run.chain[1::2], strict=True))
+    sym = s.copy()
+    sym.x = np.maximum(s.x, s.x.T)
+    for model in ("pairwise forcing", "pairwise mutual", "pairwise joint"):
+        run = kernel.simulate(sym, [Term("Rate", 1.0, "rate"), Term("density", -0.3)], {"x": 1.0}, Rules(model=model), np.random.default_rng(2))
+        assert (run.end.x == run.end.x.T).all() and run.steps > 20 and run.scores[0] == pytest.approx(2 * run.steps - 2 * 81 * run.time)
+        terms = lambda d: [Term("density", d), Term("transTrip", 0.2)]
+        p, slope = kernel.pair_probability(sym, 0, 5, terms(-0.3), model)
+        up, down = (kernel.pair_probability(sym, 0, 5, terms(-0.3 + e), model)[0] for e in (1e-6, -1e-6))
+        assert slope[0][0] == pytest.approx((math.log(up) - math.log(down)) / 2e-6, rel=1e-4) and slope[1][0] == pytest.approx((math.log(1 - up) - math.log(1 - down)) / 2e-6, rel=1e-4)
+    for bad in (dict(model="none"), dict(again=2.0), dict(settings=((0.4, "primary"),))):
+        with pytest.raises(ValueError):
+            Rules(**bad)
+    low = s.copy()
+    low.z[0] = 1
+    q, _ = kernel.behaviour_probabilities(low, 0, [Term("linear", 1.0, of="z")], Rules(absorbing=True))
+    assert q[0] == 0 and q[2] / q[1] == pytest.approx(math.e / 2)
+
+
+def test_information_is_the_second_derivative():
+    s, terms = state(6), lambda d: [Term("density", d), Term("recip", 0.4)]
+    p, c = kernel.tie_probabilities(s, 1, terms(-0.5), Rules())
+    score = lambda d: (lambda q: q[1][:, 3] - q[1] @ q[0])(kernel.tie_probabilities(s, 1, terms(d), Rules()))
+    assert -(score(-0.5 + 1e-5) - score(-0.5 - 1e-5)) / 2e-5 == pytest.approx(kernel.information(c, p)[0], rel=1e-4)
+
+
+def test_flow_of_a_continuous_variable():
+    s = state(1)
+    flow = kernel.Flow(-0.7, np.array([0.5, 0.3]), 0.4, lambda s, y: np.c_[np.ones(s.n), s.v])
+    y0 = np.linspace(-1, 1, N)
+    one, y = flow.step(s, y0, 1.0, None), y0
+    for _ in range(1000):
+        y = y + (-0.7 * y + 0.5 + 0.3 * s.v) / 1000
+    assert np.abs(one - y).max() < 1e-3 and flow.step(s, flow.step(s, y0, 0.4, None), 0.6, None) == pytest.approx(one)
+    ends = np.array([kernel.simulate(s, [Term("density", -0.5)], {"x": 2.0}, Rules(), np.random.default_rng(k), flow=flow, y=y0).y for k in range(300)])
+    assert np.abs(ends.mean(0) - one).max() < 0.1 and ends.std(0).mean() == pytest.approx(0.4 * math.sqrt((1 - math.exp(-1.4)) / 1.4), rel=0.1)
+    r, waves = np.random.default_rng(1), [np.full(4000, 0.5)]
+    still = kernel.Flow(-0.7, np.array([0.5]), 0.4, lambda s, y: np.ones((len(y), 1)))
+    for _ in range(3):
+        waves.append(still.step(None, waves[-1], 1.0, r))
+    got = starting_flow(np.array(waves[1:]))
+    assert (got["a"], got["b"], got["g"]) == pytest.approx((-0.7, 0.5, 0.4), abs=0.1)
+
+
+def test_likelihood_ratios_of_chains():
+    s, old, new = state(3, 6), [Term("density", -0.4), Term("recip", 0.6)], [Term("density", -0.3), Term("recip", 0.6)]
+    runs = [kernel.simulate(s, old, {"x": 3.0}, Rules(), np.random.default_rng(k), keep_chain=True) for k in range(200)]
+    before = np.array([kernel.replay(s, r.chain, old, {"x": 3.0}, Rules()) for r in runs])
+    assert before == pytest.approx([sum(math.log(c[4]) + math.log(c[5]) for c in r.chain) for r in runs])
+    after = np.array([kernel.replay(s, r.chain, new, {"x": 3.0}, Rules()) for r in runs])
+    found = inference.likelihood_ratio(before, after)
+    # Averaged over what the old parameters make, a likelihood ratio is one.
+    assert abs(found["log_ratio"]) < 4 * found["se"] + 1e-9 and 50 < found["effective"] <= 200
+    assert inference.path_ratio(np.array([[0.0], [1.0], [3.0]]), np.array([[2.0], [4.0], [6.0]])) == 3.0 + 10.0
+
+
+def test_rules_and_starting_values_of_data():
+    s = state(2)
+    e = s.copy()
+    e.x = np.maximum(e.x, (np.random.default_rng(1).random((N, N)) < 0.2) * (1 - np.eye(N)))
+    e.z = np.maximum(s.z - 1, 1)
+    s.w = e.w = s.x * (np.random.default_rng(2).random((N, N)) < 0.5)
+    periods = [PeriodData(1, s, e, Rules())]
+    found = rules_of(periods)
+    assert found.higher and found.up_only and found.z_down_only and not found.disjoint and not found.down_only
+    assert not rules_of(periods, override={"up_only": False}).up_only and starting_tendency(periods) < 0
+
+
+def test_reports(spark, fitted, tmp_path):
+    _, _, fit = fitted
+    assert "recip" in reports.as_text(fit) and reports.as_text(fit).count("fixed") == 1
+    assert reports.as_latex(fit).count("&") == 5 * 4 and reports.as_html(fit).count("<tr>") == 4
+    for kind in ("csv", "json"):
+        reports.write(fit.table(spark), f"{tmp_path}/{kind}", kind)
+    assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 3
+    with pytest.raises(ValueError):
+        reports.write(fit.table(spark), f"{tmp_path}/x", "xls")

@@ -150,6 +150,36 @@ def starting_density(periods: list[PeriodData]) -> float:
     return float(np.clip(top / bottom, -3, 3)) if bottom else 0.0
 
 
+def starting_tendency(periods: list[PeriodData]) -> float:
+    """Half the log odds of upward against downward steps of the behaviour, within -3 and 3; 0 where the values can't move."""
+    up = sum(float(np.maximum(p.end.z - p.start.z, 0).sum()) for p in periods)
+    down = sum(float(np.maximum(p.start.z - p.end.z, 0).sum()) for p in periods)
+    return float(np.clip(0.5 * np.log((up + 1) / (down + 1)), -3, 3))
+
+
+def starting_flow(values: np.ndarray) -> dict[str, float]:
+    """Feedback a, intercept b and scale g of a continuous variable (waves by actors), by regression of each wave on the one before."""
+    before, after = np.concatenate(values[:-1]), np.concatenate(values[1:])
+    spread = before.var()
+    slope = float(np.clip(((before - before.mean()) * (after - after.mean())).mean() / spread, 0.05, 0.98)) if spread > 0 else 0.5
+    a = float(np.log(slope))
+    level = float(after.mean() - slope * before.mean())
+    rest = float((after - slope * before - level).var())
+    return {"a": a, "b": level * a / (slope - 1), "g": float(np.sqrt(rest * 2 * a / (slope**2 - 1)))}
+
+
+def rules_of(periods: list[PeriodData], *, override: dict | None = None) -> Rules:
+    """What the data suggest that changes must obey: constraints between x and w, ties or values that only rise or only fall; `override` has the last word."""
+    states = [periods[0].start, *(p.end for p in periods)]
+    off = 1 - np.eye(states[0].n)
+    found = {
+        "higher": all((s.x >= s.w).all() for s in states), "disjoint": all((s.x * s.w == 0).all() for s in states), "at_least_one": all(((s.x + s.w + 1 - off) > 0).all() for s in states),
+        "up_only": all((p.end.x >= p.start.x).all() for p in periods), "down_only": all((p.end.x <= p.start.x).all() for p in periods),
+        "z_up_only": all((p.end.z >= p.start.z).all() for p in periods), "z_down_only": all((p.end.z <= p.start.z).all() for p in periods),
+    }
+    return Rules(**(found | (override or {})))
+
+
 def estimate(spark: SparkSession, periods: list[PeriodData], terms: list[Term], *, algorithm: Algorithm = Algorithm(), rates: list[dict[str, float]] | None = None, fixed: tuple[int, ...] = ()) -> Fit:
     """Parameters at which simulated statistics equal the observed ones on average; terms at `fixed` places keep theirs.
 

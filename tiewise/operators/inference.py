@@ -118,6 +118,21 @@ def time_test(fit: Fit, places: list[int]) -> dict:
     return {"joint": joint, "by_effect": by_effect, "by_period": by_period, "dummies": dummies}
 
 
+def likelihood_ratio(old: np.ndarray, new: np.ndarray) -> dict[str, float]:
+    """Log of the mean of exp(new - old) over chains drawn under the old parameters, its standard error, and how many chains it rests on."""
+    gap = np.asarray(new, float) - np.asarray(old, float)
+    top = gap.max()
+    w = np.exp(gap - top)
+    mean = w.mean()
+    return {"log_ratio": float(np.log(mean) + top), "se": float(w.std(ddof=1) / mean / math.sqrt(len(w))), "effective": float(w.sum() ** 2 / (w**2).sum())}
+
+
+def path_ratio(points: np.ndarray, scores: np.ndarray) -> float:
+    """Log-likelihood ratio between the ends of a path of parameter vectors, from mean scores at its points (points by terms), by the trapezoid rule."""
+    step = np.diff(np.asarray(points, float), axis=0)
+    return float(((scores[:-1] + scores[1:]) / 2 * step).sum())
+
+
 def fit_of(statistics: DataFrame, observed: DataFrame, *, two_sided: bool = False) -> dict[str, float]:
     """Monte-Carlo test over simulations: statistics (sim, key, value) against observed (key, value).
 
