@@ -3,7 +3,7 @@
 `trade_panel` derives one from the order tables: actors are nations, waves are the years in which orders
 were placed. In a wave nation i is tied to nation j when i's customers bought more lines from j's suppliers
 than the wave's mean plus half a population standard deviation. W is the same of returned lines only. The
-behaviour z is the quintile of a nation's order total in the wave, v its customers' mean balance, c its
+behaviour z is the quintile of a nation's order total in the wave, v its customers' mean balance in hundreds, c its
 region, and d the number of lines from i to j over all waves.
 """
 
@@ -83,7 +83,7 @@ def trade_panel(spark: SparkSession, sf_dir: str) -> Panel:
             tables.keep(_strong(counts)),
             tables.keep(_strong(counts.where("r > 0").select("wave", "i", "j", F.col("r").alias("n")))),
             z,
-            tables.keep(read("customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.round(F.avg("c_acctbal"), 4).alias("value"))),
+            tables.keep(read("customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.round(F.avg("c_acctbal") / 100, 6).alias("value"))),
             read("nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_regionkey").cast("int").alias("value")),
             tables.keep(counts.groupBy("i", "j").agg(F.sum("n").cast("double").alias("value"))),
             int(z.agg(F.max("wave")).first()[0] or 0),
@@ -116,6 +116,6 @@ beh AS (SELECT wave, id, CAST(ntile(5) OVER (PARTITION BY wave ORDER BY s, id) A
   GROUP BY 1, 2)),
 waves AS (SELECT CAST(unnest(range(1, (SELECT max(wave) FROM beh) + 1)) AS INT) AS wave),
 periods AS (SELECT wave AS period FROM waves WHERE wave < (SELECT max(wave) FROM beh)),
-cov AS (SELECT CAST(c_nationkey AS INT) AS id, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY 1),
+cov AS (SELECT CAST(c_nationkey AS INT) AS id, round(avg(c_acctbal) / 100, 6) AS value FROM customer GROUP BY 1),
 cat AS (SELECT CAST(n_nationkey AS INT) AS id, CAST(n_regionkey AS INT) AS value FROM nation),
 dyad AS (SELECT i, j, CAST(sum(n) AS DOUBLE) AS value FROM flows GROUP BY i, j)"""
