@@ -87,7 +87,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
     words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
     total, size = (x or 0 for x in docs.agg(F.sum(words), F.sum(F.octet_length("text").cast("long"))).first())
     blocks, buckets = max(64, -(-size // block_bytes)), max(64, -(-size // (16 * block_bytes)))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    # Rows without words need no counts and are in no block, however many they are.
+    worded = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    empty = docs.where(~worded).select("id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"))
+    dealt = docs.where(worded).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     packed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
     summed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
     result = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -141,7 +144,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
 
     counts = dealt.groupBy("block").applyInArrow(count, "block int, bucket int, grams binary, counts binary")
     totals = counts.groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary")
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(join, "id long, n_words long, log_score double")
+    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(join, "id long, n_words long, log_score double").unionByName(empty)
 
 
 #: The same scores in DuckDB's SQL over `documents`.
