@@ -193,6 +193,9 @@ class SparkFeatures:
         if net == "p":
             step = self.relation("s.e").select("period", F.col("a").alias("i"), F.col("b").alias("j"))
             return step.unionByName(self.two_steps("s.e,s.e").select("period", "i", "j")).distinct().withColumn("u", F.lit(1.0))
+        seen = {("x", 1): p.x_end, ("x", 0): p.x_start, ("e", 1): p.x_end, ("s", 0): p.x_start}.get((net, self.lag if net == "x" else int(net == "e")))
+        if seen is not None:
+            return seen.select("period", "i", "j", F.lit(1.0).alias("u"))
         ties, lag = {"x": (p.x, self.lag), "e": (p.x, 1), "s": (p.x, 0), "w": (p.w, 0)}[net]
         return ties.select((F.col("wave") - lag).alias("period"), "i", "j", F.lit(1.0).alias("u")).where(f"period between 1 and {p.waves - 1}")
 

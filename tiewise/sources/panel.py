@@ -21,7 +21,8 @@ from tiewise.sources.kept import Kept
 class Panel:
     """nodes(id); x, w: ties (wave, i, j); z (wave, id, value int); v (id, value); c (id, value); d (i, j, value).
 
-    Waves are numbered from 1 to `waves`, periods are from one wave to the next.
+    Waves are numbered from 1 to `waves`, periods are from one wave to the next. Where cells are missing or fixed,
+    x_start and x_end (period, i, j) are the networks that statistics of a period see instead of x's waves.
     """
 
     nodes: DataFrame
@@ -33,6 +34,8 @@ class Panel:
     d: DataFrame
     waves: int
     tables: Kept | None = field(default=None, compare=False)
+    x_start: DataFrame | None = None
+    x_end: DataFrame | None = None
 
     def wave_rows(self) -> DataFrame:
         return self.nodes.sparkSession.range(1, self.waves + 1).select(F.col("id").cast("int").alias("wave"))
