@@ -58,8 +58,10 @@ class Places(dict):
         self.heads = {u.removeprefix(MARK)[: min(STEMS)] for u in lexicon}
 
 
-def votes_of(text: str, places: Places) -> np.ndarray:
+def votes_of(text: str, places: dict[str, int]) -> np.ndarray:
     """1, 0 (abstains) or -1 of each lexicon unit and then of each pattern, over the whole text."""
+    if not isinstance(places, Places):
+        places = Places(tuple(sorted(places, key=places.get)))
     heads, first = places.heads, min(STEMS)
     out = np.zeros(len(places) + N_PATTERNS, np.int8)
     words = _WORD.findall(text.lower())
