@@ -44,3 +44,23 @@ def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError):
         token_store.write(df, WORD, f"{tmp_path}/ids", end_id=65536)
+
+
+def test_java_coder_makes_the_same_payloads(spark):
+    r = np.random.default_rng(5)
+    blocks = [np.array([], np.int64), np.array([65535, 0, 65535]), r.integers(0, 65536, 4096), np.zeros(4096, np.int64), np.tile(np.arange(50), 80), r.zipf(1.3, 4096) % 49408, np.tile(r.zipf(1.2, 300) % 65536, 9)]
+    names = range_coder.java_functions(spark)
+    rows = [(i, bytearray(b.astype("<u2").tobytes()), len(b)) for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "i int, ids binary, n int").selectExpr("*", f"{names['encode']}(ids) AS payload")
+    got = df.selectExpr("*", f"{names['decode']}(payload, n) AS again").orderBy("i").collect()
+    assert [bytes(r.payload) for r in got] == [payload for _, _, payload in range_coder.encode_blocks(blocks)]
+    assert [r.again for r in got] == [r.ids for r in got]
+
+
+def test_broken_files_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words of a text " * 50) for i in range(30)], "doc_id long, text string")
+    token_store.write(df, WORD, f"{tmp_path}/ids")
+    assert token_store.digests(spark, f"{tmp_path}/ids").count() == 30
+    spark.read.parquet(f"{tmp_path}/ids").selectExpr("part", "chunk", "block", "n_ids", "crc32 + 1 AS crc32", "payload", "docs").write.parquet(f"{tmp_path}/other")
+    with pytest.raises(Exception, match="checksum"):
+        token_store.digests(spark, f"{tmp_path}/other").collect()

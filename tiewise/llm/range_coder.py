@@ -5,13 +5,22 @@ same time. An order-2 and an order-1 context each remember the id that followed
 it was right. Whether the id is the order-2 guess, the order-1 guess or neither is coded with the mixed
 counts of four contexts, weighted by how well each predicted lately. An id that was not guessed is coded
 by order-0 statistics as four hexadecimal digits, each under the digits before it.
+
+RangeCoder.java beside this file is the same coder, several times faster: one block a call, the same payload byte
+by byte. java_functions() compiles it by the compiler that Spark has for its own generated code, so that executors
+code blocks as columns; the store uses that one.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 import zlib
+from importlib import resources
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 BLOCK = 4096
 _U = np.uint64
@@ -101,16 +110,19 @@ class _Lanes:
         t1 = np.where(g1 == g2, 0, t1)
         contexts = (t2 * 8 + t1, t2, t1, self.last[:n])
         rows = [k[lanes, c] for k, c in zip(self.kinds, contexts, strict=True)]
-        shares = np.stack([r / (r[:, 0] + r[:, 1] + r[:, 2])[:, None] for r in rows], axis=1)
+        # In this order of operations, which RangeCoder.java follows.
+        scale = np.stack([1 / (r[:, 0] + r[:, 1] + r[:, 2]) for r in rows], axis=1)
         w = self.weight[:n]
-        mixed = (shares[:, 0] * w[:, 0:1] + shares[:, 1] * w[:, 1:2] + shares[:, 2] * w[:, 2:3] + shares[:, 3] * w[:, 3:4]) / (w[:, 0] + w[:, 1] + w[:, 2] + w[:, 3])[:, None]
-        counts = (mixed * 16000).astype(np.int64) + 1
+        v = scale * w
+        mixed = (rows[0] * v[:, 0:1] + rows[1] * v[:, 1:2] + rows[2] * v[:, 2:3] + rows[3] * v[:, 3:4]) * (16000 / (w[:, 0] + w[:, 1] + w[:, 2] + w[:, 3]))[:, None]
+        counts = mixed.astype(np.int64) + 1
         kind = None if ids is None else np.where(ids == g2, 0, np.where(ids == g1, 1, 2))
         kind = self.symbol(lanes, counts, kind)
         for k, c in zip(self.kinds, contexts, strict=True):
             k[lanes, c] *= 0.98
             k[lanes, c, kind] += 1
-        self.weight[:n] = 0.9 * w + 0.1 * (shares[lanes, :, kind] ** 2 + 0.01)
+        share = np.stack([r[lanes, kind] for r in rows], axis=1) * scale
+        self.weight[:n] = 0.9 * w + 0.1 * (share * share + 0.01)
         found = np.where(kind == 0, g2, g1)
         miss = np.nonzero(kind == 2)[0]
         if len(miss):
@@ -173,3 +185,35 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         if zlib.crc32(out[i].astype("<u4").tobytes()) != blocks[i][1]:
             raise ValueError("a block's checksum differs from its ids")
     return out
+
+
+_FUNCTIONS = {"encode": "tiewise_range_encode", "decode": "tiewise_range_decode"}
+_COMPILED: dict[str, tuple] = {}
+
+
+def java_functions(spark: SparkSession) -> dict[str, str]:
+    """Names of SQL functions of RangeCoder.java, registered in this session.
+
+    `encode`(ids as little-endian unsigned 16-bit integers) and `decode`(payload, number of ids) are of binary columns.
+    """
+    from pyspark.sql.types import BinaryType
+
+    app = spark.sparkContext.applicationId
+    if app not in _COMPILED:
+        jvm = spark.sparkContext._jvm
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(resources.files(__package__).joinpath("RangeCoder.java").read_text())
+        made = compiler.getBytecodes()
+        folder = tempfile.TemporaryDirectory(prefix="tiewise-")  # kept as long as this process: executors fetch from it
+        path = os.path.realpath(f"{folder.name}/range_coder.jar")
+        with zipfile.ZipFile(path, "w") as jar:
+            for name in made:
+                jar.writestr(name.replace(".", "/") + ".class", bytes(made[name]))
+        spark.sparkContext._jsc.sc().addJar(path)
+        loader = compiler.getClassLoader()
+        kinds = {k: loader.loadClass(f"tiewise.RangeCoder${k.capitalize()}") for k in _FUNCTIONS}
+        _COMPILED[app] = folder, kinds, jvm.org.apache.spark.sql.types.DataType.fromJson(BinaryType().json())
+    _, kinds, binary = _COMPILED[app]
+    for k, name in _FUNCTIONS.items():
+        spark._jsparkSession.udf().register(name, kinds[k].newInstance(), binary)
+    return dict(_FUNCTIONS)

@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiewise.llm.frames import keyed_text, shared_folder
-from tiewise.llm.range_coder import BLOCK, decode_blocks, encode_blocks
+from tiewise.llm.range_coder import BLOCK, java_functions
 from tiewise.llm.word_ids import encoded
 
 _DOC = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
-_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64()), ("payload", pa.binary()), ("docs", _DOC)])
+_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64()), ("ids", pa.binary()), ("docs", _DOC)])
 SCHEMA = "part int, chunk int, block int, n_ids int, crc32 long, payload binary, docs array<struct<id: bigint, n: bigint>>"
 #: Chunks of one partition are numbered from 0; ids in a chunk, unless one document has more.
 CHUNK_IDS = 512 * BLOCK
+#: Bytes of text in a partition, and at most encoded at once: the more, the fewer words are encoded again.
+PARTITION_BYTES, RUN_BYTES = 24 << 20, 32 << 20
 
 
 def _check(vocabulary: str, end_id: int) -> None:
@@ -36,7 +38,7 @@ def _check(vocabulary: str, end_id: int) -> None:
         raise ValueError(f"{size} tokens and end id {end_id}: ids must be below 65536")
 
 
-def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, partition_bytes: int = 8 << 20, chunk_ids: int = CHUNK_IDS) -> None:
+def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, partition_bytes: int = PARTITION_BYTES, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every whole text, append end_id and write all ids in ascending order of document ids.
 
     Null and empty texts have the end id only; null ids come first; rows that share an id are ordered by a
@@ -57,15 +59,14 @@ def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id"
         docs_of: list[dict] = []
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            made = encode_blocks([ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)])
-            n, crc, payload = zip(*made, strict=True)
-            index = [list(docs_of), *([None] * (len(made) - 1))]
-            columns = [[part] * len(made), [chunk] * len(made), list(range(len(made))), n, crc, payload, index]
+            ids = np.frombuffer(b"".join(held), "<u4")
+            blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+            index = [list(docs_of), *([None] * (len(blocks) - 1))]
+            columns = [[part] * len(blocks), [chunk] * len(blocks), range(len(blocks)), map(len, blocks), map(zlib.crc32, blocks), (b.astype("<u2").tobytes() for b in blocks), index]
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
         total = 0
-        for doc, data in encoded(batches, vocabulary):
+        for doc, data in encoded(batches, vocabulary, RUN_BYTES):
             held.append(data + end)
             docs_of.append({"id": doc, "n": len(data) // 4 + 1})
             total += docs_of[-1]["n"]
@@ -80,7 +81,9 @@ def write(df: DataFrame, vocabulary: str, folder: str, *, id_col: str = "doc_id"
     # Rows that share an id are dealt by their texts' hashes, so that no id fills one task.
     keyed = docs.withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(parts, F.asc_nulls_first("id"), "h").sortWithinPartitions(F.asc_nulls_first("id"), "h").select("id", "text")
-    ordered.mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(folder)
+    blocks = ordered.mapInArrow(run, SCHEMA.replace("payload", "ids"))
+    payload = F.call_function(java_functions(df.sparkSession)["encode"], "ids").alias("payload")
+    blocks.select("part", "chunk", "block", "n_ids", "crc32", payload, "docs").write.mode("overwrite").parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -110,7 +113,10 @@ def _decoded(spark, folder: str, whole: bool) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        ids = np.concatenate(decode_blocks(list(zip(*(table.column(c).to_pylist() for c in ("n_ids", "crc32", "payload")), strict=True)))).astype("<u4")
+        blocks = [np.frombuffer(b, "<u2").astype("<u4") for b in table.column("ids").to_pylist()]
+        if list(map(zlib.crc32, blocks)) != table.column("crc32").to_pylist():
+            raise ValueError("a block's checksum differs from its ids")
+        ids = np.concatenate(blocks)
         docs = table.column("docs")[0].as_py()
         ends = np.cumsum([d["n"] for d in docs])
         start = base.value[table.column("part")[0].as_py(), table.column("chunk")[0].as_py()]
@@ -119,7 +125,10 @@ def _decoded(spark, folder: str, whole: bool) -> DataFrame:
         columns = [[d["id"] for d in docs], [start + int(e) - d["n"] for e, d in zip(ends, docs, strict=True)], [d["n"] for d in docs], last]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return blocks.groupBy("part", "chunk").applyInArrow(run, text)
+    # Decoded where they are grouped, so that payloads are exchanged and not ids.
+    ids = F.call_function(java_functions(spark)["decode"], "payload", "n_ids").alias("ids")
+    dealt = blocks.repartition("part", "chunk").sortWithinPartitions("part", "chunk").select("part", "chunk", "block", "crc32", ids, "docs")
+    return dealt.groupBy("part", "chunk").applyInArrow(run, text)
 
 
 def round_trip(df: DataFrame, vocabulary: str, **options) -> DataFrame:

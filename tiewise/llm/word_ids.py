@@ -108,17 +108,17 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encoded_runs(batches, path: str):
+def encoded_runs(batches, path: str, max_bytes: int = 8 << 20):
     """(document ids, token ids of all texts, their borders) of runs of rows of Arrow batches with columns id and text."""
     enc = encoder(path)
     for batch in batches:
-        for rows in text_runs(batch, "text"):
+        for rows in text_runs(batch, "text", max_bytes):
             yield (rows.column("id").to_pylist(), *enc.encode_run(rows.column("text")))
 
 
-def encoded(batches, path: str):
+def encoded(batches, path: str, max_bytes: int = 8 << 20):
     """(id, ids as bytes) of every row of Arrow batches with columns id and text."""
-    for docs, ids, borders in encoded_runs(batches, path):
+    for docs, ids, borders in encoded_runs(batches, path, max_bytes):
         ids = ids.astype("<u4", copy=False)
         for doc, a, b in zip(docs, borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             yield doc, ids[a:b].tobytes()
